@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import mixing, sharding
+from gridloom.llm import bpe, mixing, sharding, unigram
 from gridloom.llm.common import documents
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -16,8 +20,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_mixing, op6_sharding)}
+    return {f.__name__: f for f in (op3_token_counts, op5_mixing, op6_sharding, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
