@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, mixing, sharding, unigram
+from gridloom.llm import bpe, mixing, sharding, toxicity, unigram
 from gridloom.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -25,7 +29,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op5_mixing, op6_sharding, op7_bpe)}
+    return {f.__name__: f for f in (op3_token_counts, op4_toxicity, op5_mixing, op6_sharding, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
