@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, fingerprints, minhash, mixing, sharding, toxicity, unigram
+from gridloom.llm import bpe, fingerprints, lines, minhash, mixing, sharding, toxicity, unigram
 from gridloom.llm.common import documents
 
 
@@ -36,8 +36,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op4_toxicity, op5_mixing, op6_sharding, op7_bpe, op8_near_duplicates, op9_fingerprints)}
+    return {f.__name__: f for f in (op3_token_counts, op4_toxicity, op5_mixing, op6_sharding, op7_bpe, op8_near_duplicates, op9_fingerprints, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
