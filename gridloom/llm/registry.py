@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, fingerprints, lines, minhash, mixing, sharding, toxicity, unigram
+from gridloom.llm import bpe, fingerprints, lines, minhash, mixing, sharding, topk, toxicity, unigram, warc
 from gridloom.llm.common import documents
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(documents(spark, sf_dir))
 
@@ -41,8 +49,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op4_toxicity, op5_mixing, op6_sharding, op7_bpe, op8_near_duplicates, op9_fingerprints, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_top_k, op2_warc, op3_token_counts, op4_toxicity, op5_mixing, op6_sharding, op7_bpe, op8_near_duplicates, op9_fingerprints, op10_line_dedup)}
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS low FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN low < page_id THEN low END AS refers_to
+FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_top_k": OP1_SQL, "op2_warc": OP2_SQL}
