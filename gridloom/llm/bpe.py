@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+from itertools import chain
 
 import pandas as pd
 import public_tokenizers
@@ -49,6 +51,7 @@ class WordTrie(Trie):
         self.vocab, self.rank = vocab, {tuple(m): i for i, m in enumerate(merges)}
         self.longest = max(len(t) - len(END) * t.endswith(END) for t in vocab)
         self.whole: dict[str, bool] = {}
+        self.halves: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         super().__init__(**bounds)
 
@@ -68,48 +71,104 @@ class WordTrie(Trie):
         return symbols
 
     def follows(self, before: str | None, token: str) -> bool:
+        """Whether merging the symbols of both gives back just the two, or with no `before` token itself."""
         if before is None:
-            if token not in self.whole:
-                self.whole[token] = self.merged(self.symbols(token)) == [token]
-            return self.whole[token]
+            found = self.whole.get(token)
+            if found is None:
+                found = self.whole[token] = self.merged(self.symbols(token)) == [token]
+                if found and token not in self.halves:
+                    self.split(token)
+            return found
         key = before, token
-        if key not in self.pairs:
+        found = self.pairs.get(key)
+        if found is None:
             if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            self.pairs[key] = self.follows(None, token) and self.merged(self.symbols(before) + self.symbols(token)) == [before, token]
-        return self.pairs[key]
+            found = self.pairs[key] = self.follows(None, token) and self.apart(before, token)
+        return found
+
+    def split(self, token: str) -> None:
+        """The rank of the merge that makes a token, and the two tokens merged; -1 for a symbol."""
+        symbols, last = self.symbols(token), (-1, None, None)
+        if len(symbols) > 1:
+            pairs = [symbols]
+            while len(symbols) > 2:
+                rank, i = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:])))
+                symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+                pairs.append(symbols)
+            last = self.rank[symbols[0], symbols[1]], symbols[0], symbols[1]
+        self.halves[token] = last
+        for half in last[1:]:
+            if half is not None and half not in self.halves:
+                self.split(half)
+
+    def apart(self, before: str, token: str) -> bool:
+        """Whether no merge ever crosses the border of two whole tokens.
+
+        Their making is run backwards: of the two tokens at the border the one made later is undone, and at
+        each stage the merge of both must come after one of them has been merged into its own parent
+        (of equal ranks the left one comes first).
+        """
+        rank, halves, left_by, right_by = self.rank, self.halves, 1 << 60, 1 << 60
+        while True:
+            crossing = rank.get((before, token))
+            if crossing is not None and crossing < left_by and crossing <= right_by:
+                return False
+            a, b = halves[before], halves[token]
+            if a[0] > b[0]:
+                left_by, before = a[0], a[2]
+            elif b[0] >= 0:
+                right_by, token = b[0], b[1]
+            else:
+                return True
 
     def step(self, word, d, states, last):
-        tail = END if last else ""
-        for j in range(d - 1, max(-1, d - 1 - self.longest), -1):
+        """Just one place fits; first tried are where the token before began, and the last symbol alone."""
+        tail, vocab, pairs = END if last else "", self.vocab, self.pairs
+        longer, tried = states[d - 1][1], d - 1
+        for j in (longer, tried) if longer != tried else (tried,):
             token = word[j:d] + tail
-            if token in self.vocab and self.follows(states[j][0], token):
-                return token, j
+            if token in vocab:
+                before = states[j][0]
+                fits = pairs.get((before, token))
+                if fits or fits is None and self.follows(before, token):
+                    return token, j
+        for j in range(d - 2, max(-1, d - 1 - self.longest), -1):
+            token = word[j:d] + tail
+            if token in vocab and j != longer:
+                before = states[j][0]
+                fits = pairs.get((before, token))
+                if fits or fits is None and self.follows(before, token):
+                    return token, j
         raise ValueError(f"no token ends at {d} in {word[:40]!r}")
 
     def encode(self, words) -> dict[str, list[int]]:
-        out = {}
+        out, vocab = {}, self.vocab
         for word, states in self.walk(words):
             d, ids = len(word), []
             while d:
                 token, d = states[d]
-                ids.append(self.vocab[token])
-            out[word] = ids[::-1]
+                ids.append(vocab[token])
+            ids.reverse()
+            out[word] = ids
         return out
 
 
 class Codec:
     """Encoder and decoder of texts for one vocabulary file; caches are bounded."""
 
-    def __init__(self, source: str, max_chunks: int = 250_000):
+    def __init__(self, source: str, max_chunks: int = 600_000):
         model = json.loads(source)
         self.library = Tokenizer.from_str(source)
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         vocab = model["model"]["vocab"]
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.trie, self.bytes = WordTrie(vocab, model["model"]["merges"]), byte_alphabet()
-        self.max_chunks, self.ids, self.text = max_chunks, {}, {}
+        self.shown = {i: str(i) for i in self.names}
+        self.trie, self.bytes = WordTrie(vocab, model["model"]["merges"]), dict(enumerate(byte_alphabet()))
+        self.max_chunks = max_chunks
+        #: Of each chunk met: its ids as text, and what they decode to.
+        self.known: dict[str, tuple[str, str]] = {}
 
     def words(self, chunk: str) -> list:
         """A chunk of text without white space as words in the byte alphabet; special tokens as their ids."""
@@ -117,20 +176,23 @@ class Codec:
             return [x for part in self.apart.split(chunk) if part for x in ([self.special[part]] if part in self.special else self.words(part))]
         if STABLE.search(chunk):  # the library's own Unicode tables decide
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
-        found = SPLIT.findall(chunk.lower())
-        return found if chunk.isascii() and "\x7f" not in chunk and chunk.isprintable() else ["".join([self.bytes[b] for b in w.encode()]) for w in found]
+        low = chunk.lower()
+        found = [low] if low.isalpha() else SPLIT.findall(low)
+        return found if chunk.isascii() and chunk.isprintable() else [w.encode().decode("latin-1").translate(self.bytes) for w in found]
 
     def chunks(self, text: str) -> list[str]:
         return [c for c in SPACE.split(text) if c] if CONTROL.search(text) else text.split()
 
     def learn(self, chunks) -> None:
         """Encode the chunks not met yet: their distinct words go through the trie in one traversal."""
-        new = [c for c in chunks if c not in self.ids]
-        split = {c: self.words(c) for c in new}
-        found = self.trie.encode({w for ws in split.values() for w in ws if not isinstance(w, int)})
+        split = {c: self.words(c) for c in chunks.difference(self.known)}
+        found = self.trie.encode({w for ws in split.values() for w in ws if w.__class__ is str})
+        known, shown, names = self.known, self.shown, self.names
         for c, ws in split.items():
-            ids = [i for w in ws for i in ([w] if isinstance(w, int) else found[w])]
-            self.ids[c], self.text[c] = " ".join(map(str, ids)), self.decode(ids)
+            ids = found.get(ws[0]) if len(ws) == 1 else None
+            if ids is None:
+                ids = [i for w in ws for i in (found[w] if w.__class__ is str else [w])]
+            known[c] = " ".join([shown[i] for i in ids]), " ".join([names[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's file names no decoder: tokens are joined by spaces."""
@@ -139,18 +201,27 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         chunks = self.chunks(text)
         self.learn(set(chunks))
-        return [int(i) for c in chunks for i in self.ids[c].split()]
+        return [int(i) for c in chunks for i in self.known[c][0].split()]
 
     def digests(self, texts: list[str]):
         """(number of tokens, SHA-256 of the ids, SHA-256 of the decoded text) of each text."""
-        split = [self.chunks(t) for t in texts]
-        if len(self.ids) > self.max_chunks:
-            self.ids.clear()
-            self.text.clear()
-        self.learn({c for cs in split for c in cs})
-        for cs in split:
-            ids = " ".join(map(self.ids.__getitem__, cs))
-            yield ids.count(" ") + 1 if cs else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(" ".join(map(self.text.__getitem__, cs)).encode()).hexdigest()
+        if len(self.known) > self.max_chunks:
+            self.known.clear()
+        # Nothing here makes cycles, and the collector would walk the caches again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            split = [self.chunks(t) for t in texts]
+            self.learn(set(chain.from_iterable(split)))
+            out = []
+            for cs in split:
+                found = list(map(self.known.__getitem__, cs))
+                ids = " ".join([i for i, _ in found])
+                out.append((ids.count(" ") + 1 if cs else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(" ".join([t for _, t in found]).encode()).hexdigest()))
+            return out
+        finally:
+            if collecting:
+                gc.enable()
 
 
 _codecs: dict[str, Codec] = {}

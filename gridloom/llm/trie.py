@@ -37,11 +37,12 @@ class Trie:
                 continue
             if len(self.state) > self.max_nodes:
                 self.clear()
-            node, states, edges, state = 0, [self.state[0]], self.edges, self.state
-            for d in range(1, n):
-                to = edges.get((node, word[d - 1]))
+            node, states, edges, state, d = 0, [self.state[0]], self.edges, self.state, 0
+            for c in word[:-1]:
+                d += 1
+                to = edges.get((node, c))
                 if to is None:
-                    to = edges[node, word[d - 1]] = len(state)
+                    to = edges[node, c] = len(state)
                     state.append(self.step(word, d, states, False))
                 node = to
                 states.append(state[node])

@@ -96,3 +96,17 @@ def test_unigram_documents(spark):
     got = {(r.doc_id, r.n_words, r.n_tokens > 0) for r in unigram.count_tokens(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 3, True), (None, 0, False), (2, 0, False), (3, 1, True), (4, 0, False)}
     assert unigram.count_tokens(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_borders_agree_with_plain_merging(pair):
+    """Two whole tokens stay apart just if merging the symbols of both gives back the two."""
+    _, codec = pair
+    trie, rng = codec.trie, random.Random(6)
+    inner = [t for t in list(trie.vocab)[:6000] if not t.endswith(bpe.END) and trie.follows(None, t)]
+    anyhow = [t for t in list(trie.vocab)[:6000] if trie.follows(None, t)]
+    for _ in range(20_000):
+        a, b = rng.choice(inner), rng.choice(anyhow)
+        assert trie.apart(a, b) == (trie.merged(trie.symbols(a) + trie.symbols(b)) == [a, b]), (a, b)
+    for t in "aeiou":
+        for u in ("a", "e", "aa", "ee", "aa" + bpe.END, "i" + bpe.END):
+            assert trie.apart(t, u) == (trie.merged(trie.symbols(t) + trie.symbols(u)) == [t, u]) if trie.follows(None, t) and u in trie.vocab and trie.follows(None, u) else True
