@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridloom.llm.common import ship
 from gridloom.llm.trie import Trie
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -251,6 +252,7 @@ def by_size(texts, chars: int = 1_000_000):
 
 def digest_column(df: DataFrame, text: Column, vocabulary: str = VOCABULARY) -> Column:
     """A struct n_tokens, ids_sha256, decoded_sha256 for each text. The vocabulary, a file of the driver's of fixed size, is broadcast."""
+    ship(df.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         source = df.sparkSession.sparkContext.broadcast(f.read())
 

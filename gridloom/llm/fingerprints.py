@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import ship
+
 #: Levels of phrases, hashes kept of a level, and phrases from which a level is rich enough to be compared alone.
 LEVELS, KEPT, RICH = 3, 32, 12
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -162,6 +164,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     The texts are shuffled once, to ranges of doc_id cut at approximate quantiles; the row that follows a
     range, the first of the next, is copied into it. The driver holds one number a range, for cuts and firsts.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(4, 2 * docs.rdd.getNumPartitions())
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")).first().cuts or []

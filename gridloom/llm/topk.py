@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import ship
+
 #: Rows of a block of candidates and of one of queries: what one task holds at a time.
 CANDIDATES, QUERIES = 8192, 2048
 #: Components stop here, so that scores fit 64 bits.
@@ -115,6 +117,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     Candidates and queries are dealt into blocks of bounded size by a hash of vec_id; each pair of blocks is a
     task's group, whose best rows alone go on. Equal vectors within a block are scored once.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.select("vec_id", scaled(F.col("embedding"), scale).alias("v"))
     n = rows.agg(F.count("*").alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries")).first()

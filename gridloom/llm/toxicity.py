@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
+from gridloom.llm.common import ship
 
 #: Words of a window, words from one window's start to the next, GRU units a direction, numbers a word and a character input has, n-gram buckets.
 LENGTH, STRIDE, UNITS, WIDTH, BUCKETS = 32, 24, 8, 8, 1 << 14  # buckets: 14 bits
@@ -314,6 +315,7 @@ _scorers: dict[int, Scorer] = {}
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """The score of each whole text; the model, of fixed size, is broadcast."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import WORD
+from gridloom.llm.common import WORD, ship
 from gridloom.llm.trie import Trie
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -83,6 +83,7 @@ _counters: dict[bytes, Counter] = {}
 
 
 def count_column(df: DataFrame, text: Column, vocabulary: str = VOCABULARY) -> Column:
+    ship(df.sparkSession)
     with open(vocabulary, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
 

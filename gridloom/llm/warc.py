@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh_path, written
+from gridloom.llm.common import fresh_path, ship, written
 
 #: Payloads shorter than this are never revisits.
 MIN_PAYLOAD = 100
@@ -170,6 +170,7 @@ def write_archives(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFram
     leaves at most a file that no one reads.
     """
     spark = pages.sparkSession
+    ship(spark)
     folder = fresh_path(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("digest", F.unhex(F.sha2("payload", 256)))
@@ -213,6 +214,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             rows = []
                 yield pack(rows)
 
+    ship(manifest.sparkSession)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
