@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import drop, written
+from gridloom.llm.common import drop, ship, written
 from gridloom.llm.components import components
 from gridloom.llm.fingerprints import _GOLD, _mix
 
@@ -113,104 +113,152 @@ def _keys() -> Column:
     return F.array(*[F.xxhash64(F.lit(4 * k + j), F.col(f"s{k}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k in range(CHUNKS) for j, m in enumerate(masks)])
 
 
-def _differing(x: str, y: str) -> Column:
-    """Number of symbols in which two signatures differ: each 16 bits folded onto their lowest."""
-    total = F.lit(0)
-    for k in range(CHUNKS):
-        d = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
-        for shift in (8, 4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
-        total = total + F.bit_count(d.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
+def _whole_groups(batches, first: int):
+    """Runs of rows that agree in the columns from `first` on, from batches sorted by them, as (columns, starts, ends)."""
+    kept = None
+    for batch in chain(batches, [None]):
+        rows = kept if batch is None else batch if kept is None else pa.concat_batches([kept, batch])
+        if rows is None or not rows.num_rows:
+            continue
+        keys = [rows.column(k).to_numpy(zero_copy_only=False) for k in range(first, rows.num_columns)]
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        starts = np.flatnonzero(new)
+        if batch is None:
+            yield rows, starts, np.append(starts[1:], rows.num_rows)
+        else:
+            if len(starts) > 1:
+                yield rows.slice(0, starts[-1]), starts[:-1], starts[1:]
+            kept = rows.slice(starts[-1])
+
+
+def _forest(joined: np.ndarray):
+    """(member, lowest member) links that connect what a symmetric matrix connects."""
+    left = np.ones(len(joined), bool)
+    for i in range(len(joined)):
+        if left[i]:
+            left[i] = False
+            edge = joined[i] & left
+            while edge.any():
+                left &= ~edge
+                for j in np.flatnonzero(edge):
+                    yield j, i
+                edge = joined[edge].any(axis=0) & left
+
+
+def _in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
+    """rows with lo, hi: a group of over `block` rows is cut by a hash of the node into blocks, and each row goes to
+    the pairs of blocks that its own is in. So no task holds more than two blocks, however large a group is."""
+    n = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_own", "_other", size)
+
+
+#: Classes of a block, of which a task compares two: by signatures, and by full sets.
+SIGNATURE_BLOCK, SET_BLOCK = 512, 256
+
+
+def _families(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, root): classes joined up by signatures within DISTANCE, of sizes that allow a link.
+
+    Each class goes to the bucket of each of its keys; within a bucket all classes are compared, and links
+    that connect the close ones are kept, not the pairs. A pair is compared in the first bucket it shares.
+    """
+    columns = [f"s{k}" for k in range(CHUNKS)]
+    keyed = classes.select("node", F.explode(_keys()).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = _in_blocks(keyed.join(buckets, "key"), "key", "size", SIGNATURE_BLOCK).join(classes.select("node", "n", *columns), "node")
+    rows = rows.select("node", "n", *columns, "key", "lo", "hi")
+
+    def compare(batches):
+        for table, starts, ends in _whole_groups(batches, 2 + CHUNKS):
+            node, n = (table.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            symbols = np.stack([table.column(2 + k).to_numpy(zero_copy_only=False) for k in range(CHUNKS)], axis=1).view(np.uint16)
+            u, v = [], []
+            for a, b in zip(starts, ends):
+                if b - a == 2:
+                    if (symbols[a] != symbols[a + 1]).sum() <= DISTANCE and 100 * min(n[a], n[a + 1]) >= percent * max(n[a], n[a + 1]):
+                        u.append(node[a])
+                        v.append(node[a + 1])
+                    continue
+                far = np.zeros((b - a, b - a), np.uint8)
+                for k in range(SYMBOLS):
+                    far += symbols[a:b, k, None] != symbols[None, a:b, k]
+                size = n[a:b]
+                near = (far <= DISTANCE) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
+                for i, j in _forest(near):
+                    u.append(node[a + i])
+                    v.append(node[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "u long, v long")
+    return components(found)
 
 
-def _near(x: str, y: str, percent: int) -> Column:
-    """Sizes allow a link, and signatures are within DISTANCE."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_differing(x, y) <= DISTANCE)
+def _links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links (u, v) of classes, confirmed on full sets, that join up all classes that are linked.
 
+    Only classes of one family can be linked. Within a family all pairs are compared, block by block, by
+    products of their membership in the shingles that they share; links that connect are kept, not pairs.
+    """
+    families = written(_families(classes, rule.percent), "near-families")
+    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
+    who = written(classes.select("node", "rep", "a", "b").join(families, "node").join(sizes, "root"), "near-who")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(who.select("rep").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Of pairs (u, v) of classes, those whose full shingle sets are linked.
+    def hashed(batches):
+        for batch in batches:
+            for run in by_size(t or "" for t in batch.column(1).to_pylist()):
+                hashes, n = shingles(run, rule.words)
+                marks, ends = _marks(hashes, n), 8 * np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(hashes.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), sets], ["a", "b", "hashes"])
 
-    The texts of the documents that stand for the classes are picked out once; a pair gets both texts.
-    """
-    who = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    named = classes.select("node", "rep", "a", "b")
-    who = written(who.join(named, "node"), "near-who")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(who.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    texts = written(texts, "near-texts")
-    x = texts.join(who, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "a", "b", "text")
-    both = pairs.join(x.select(F.col("node").alias("v"), F.col("a").alias("va"), F.col("b").alias("vb"), F.col("text").alias("vt")), "v")
-    both = both.join(x.select(F.col("node").alias("u"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.col("text").alias("ut")), "u")
+    sets = texts.mapInArrow(hashed, "a long, b long, hashes binary")
+    # Joins with texts are by merging at every size: a broadcast would pass its bound somewhere.
+    # One copy of a set that repeated rows of a document have.
+    rows = who.join(sets, ["a", "b"]).select("node", "hashes", "root", "size")
+    rows = _in_blocks(rows, "root", "size", SET_BLOCK).select("node", "hashes", "root", "lo", "hi")
 
     def confirm(batches):
-        for batch in batches:
-            u, v, ua, ub, va, vb = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            keep = np.zeros(len(u), bool)
-            at, last = 0, (None, None)
-            while at < len(u):
-                end, chars = at, 0
-                while end < len(u) and (end == at or chars < 1_000_000):
-                    chars += len(batch.column(7)[end].as_py() or "") + 1
-                    end += 1
-                lefts, number = [], []
-                for i in range(at, end):
-                    if last[0] != u[i] or not lefts:
-                        lefts.append(batch.column(6)[i].as_py() or "")
-                        last = u[i], None
-                    number.append(len(lefts) - 1)
-                hx, nx = shingles(lefts, rule.words)
-                hy, ny = shingles([t or "" for t in batch.column(7).slice(at, end - at).to_pylist()], rule.words)
-                mx, my, bx, by = _marks(hx, nx), _marks(hy, ny), np.cumsum(nx) - nx, np.cumsum(ny) - ny
-                for k, i in enumerate(range(at, end)):
-                    j = number[k]
-                    if (mx[j] == (ua[i], ub[i])).all() and (my[k] == (va[i], vb[i])).all():
-                        common = len(np.intersect1d(hx[bx[j] : bx[j] + nx[j]], hy[by[k] : by[k] + ny[k]], assume_unique=True))
-                        keep[i] = 100 * common >= rule.percent * (nx[j] + ny[k] - common)
-                at = end
-            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
-
-    rows = both.select("u", "v", "ua", "ub", "va", "vb", "ut", "vt").sortWithinPartitions("u")
-    links = written(rows.mapInArrow(confirm, "u long, v long").distinct(), "near-links")
-    drop(who, texts)
+        for table, starts, ends in _whole_groups(batches, 2):
+            node, u, v = table.column(0).to_numpy(zero_copy_only=False), [], []
+            for a, b in zip(starts, ends):
+                _, at = np.unique(node[a:b], return_index=True)
+                at = np.sort(at) + a
+                held = [np.frombuffer(table.column(1)[int(i)].as_buffer(), np.uint64) for i in at]
+                n = np.array([len(h) for h in held])
+                common = _common(held)
+                joined = 100 * common >= rule.percent * (n[:, None] + n - common)
+                for i, j in _forest(joined):
+                    u.append(node[at[i]])
+                    v.append(node[at[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    links = written(rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(confirm, "u long, v long").distinct(), "near-links")
+    drop(families, who)
     return links
 
 
-def _links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Links (u, v) of classes that have the same components as all links there are.
-
-    First, in every bucket of a key, each class is tried against the bucket's lowest; the links found
-    join up most of a group of copies. Then only classes of different components are tried against
-    each other, all that share a bucket; pairs within a component need no link of their own.
-    """
-    signature = [f"s{k}" for k in range(CHUNKS)]
-    keyed = classes.select("node", F.explode(_keys()).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size")).where("size > 1").select("key", "low")
-    members = written(keyed.join(buckets, "key"), "near-members")
-    sides = lambda name: classes.select(F.col("node").alias(name), F.struct("n", *signature).alias(f"{name}_s"))
-    stars = members.where("node != low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    near = lambda pairs: pairs.join(sides("v"), "v").join(sides("u"), "u").where(_near("u_s", "v_s", rule.percent)).select("u", "v")
-    stars = written(near(stars), "near-stars")
-    links = _confirmed(stars, classes, docs, rule)
-    roots = written(components(links), "near-roots")
-
-    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = members.join(root("node"), "node", "left").withColumn("node_root", F.coalesce("node_root", "node"))
-    placed = placed.join(root("low"), "low", "left").withColumn("low_root", F.coalesce("low_root", "low"))
-    # In a bucket of one component all is said; else those outside the lowest one's component try all others.
-    mixed = placed.groupBy("key").agg(F.max(F.col("node_root") != F.col("low_root")).alias("mixed"), F.sum((F.col("node_root") != F.col("low_root")).cast("int")).alias("outside"), F.count("*").alias("size"))
-    mixed = mixed.where("mixed and size > 2").select("key")
-    rest = placed.join(mixed, "key").join(classes.select("node", "n", *signature), "node")
-    rest = written(rest.select("key", "node", F.col("node_root").alias("root"), "low", "low_root", F.struct("n", *signature).alias("s")), "near-rest")
-    x = rest.where("root != low_root").select("key", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("s").alias("u_s"))
-    y = rest.where("node != low").select("key", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("low_root").alias("v_low"), F.col("s").alias("v_s"))
-    once = (F.col("v_root") == F.col("v_low")) | (F.col("u") < F.col("v"))
-    cross = x.join(y, "key").where((F.col("u_root") != F.col("v_root")) & once & _near("u_s", "v_s", rule.percent))
-    cross = written(cross.select("u", "v").distinct(), "near-cross")
-    more = _confirmed(cross, classes, docs, rule)
-    drop(members, stars, rest, cross)
-    return links.union(more)
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of hashes that each two sets share: only hashes of two sets at least are looked at, a strip at a time."""
+    n = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), n)
+    _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[word]
+    of, word = of[keep], number[word[keep]]
+    total = np.zeros((len(sets), len(sets)))
+    order = np.argsort(word, kind="stable")
+    of, word = of[order], word[order]
+    for start in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(word, [start, start + 4096])
+        strip = np.zeros((len(sets), 4096), np.float32)
+        strip[of[lo:hi], word[lo:hi] - start] = 1
+        total += strip @ strip.T
+    return total
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -225,6 +273,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     others; a component of them alone has a null component_id, and there null is kept. Repeated rows are
     rows of one class. An empty table gives no rows; other columns are ignored.
     """
+    ship(docs.sparkSession)
     rows = written(signed(docs, rule.words), "near-rows")
     grouped = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", *(f"s{k}" for k in range(CHUNKS)))])
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
@@ -246,4 +295,4 @@ def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     found = near_duplicates(docs, rule).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone")), "near-gone")
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    return rows.join(gone, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    return rows.join(gone.hint("merge"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
