@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import drop, written
+from gridloom.llm.common import drop, ship, written
 from gridloom.llm.fingerprints import _GOLD, _mix
 
 #: A repeated run is deleted if it has at least so many words.
@@ -127,7 +127,8 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
     """_row (a document's columns) and _cut (n_lines, n_deleted, text)."""
-    spans = _spans(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "spans")
+    ship(docs.sparkSession)
+    spans = _spans(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "spans").hint("merge")  # alike at every size: a broadcast would pass its bound somewhere
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     rows = rows.join(spans, (F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NONE)) == F.col("_d")) & (F.xxhash64("_row.text") == F.col("_h")), "left")
     cut = F.pandas_udf(_cut, "n_lines long, n_deleted long, text string")
