@@ -76,6 +76,26 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN low < page_id THEN 'rev
 FROM f
 """
 
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END AS sh FROM w
+), x AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS sizes, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2, 3
+), l AS (
+  SELECT u, v FROM p WHERE 100 * c >= 85 * (sizes - c) UNION SELECT v, u FROM p WHERE 100 * c >= 85 * (sizes - c)
+), r(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.v FROM r JOIN l ON r.node = l.u
+), m AS (
+  SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op2_warc": OP2_SQL}
+    return {"op1_top_k": OP1_SQL, "op2_warc": OP2_SQL, "op8_near_duplicates": OP8_SQL}
