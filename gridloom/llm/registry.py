@@ -96,6 +96,30 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
 """
 
+OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d
+), c AS (
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM l
+), s AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c
+), f AS (
+  SELECT a.doc_id, a.i AS st, min(b.i) AS en FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= 50 GROUP BY 1, 2
+), g AS (
+  SELECT a.doc_id, max(a.i) AS st, b.i AS en FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= 50 GROUP BY 1, 3
+), n AS (
+  SELECT doc_id, st, en, array_to_string(ls[st:en], chr(10)) AS run FROM (SELECT * FROM f UNION SELECT * FROM g) JOIN d USING (doc_id)
+), k AS (
+  SELECT doc_id, st, en, min(doc_id) OVER (PARTITION BY run) AS low, row_number() OVER (PARTITION BY run, doc_id ORDER BY st) AS nth FROM n
+), x AS (
+  SELECT DISTINCT doc_id, unnest(range(st, en + 1)) AS i FROM k WHERE low < doc_id OR nth > 1
+)
+SELECT c.doc_id, count(*) AS n_lines, count(x.i) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY c.i) FILTER (x.i IS NULL), '') AS text
+FROM c LEFT JOIN x ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY c.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op2_warc": OP2_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op1_top_k": OP1_SQL, "op2_warc": OP2_SQL, "op8_near_duplicates": OP8_SQL, "op10_line_dedup": OP10_SQL}
