@@ -58,6 +58,7 @@ def _slots(src: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     after pass, until its target is met; the last is cut, so the words taken are the target, rounded.
     """
     src = src.where("source_size > 0").withColumns({"goal": F.least(F.round("target").cast("long"), (2 * F.col("source_size")).cast("long")), "blocks": F.expr(f"source_size div {block} + if(source_size % {block} > 0, 1, 0)"), "short": F.expr(f"{block} - 1 - (source_size - 1) % {block}")})
+    spark = src.sparkSession
     # Enough slots: a pass ends after all blocks; what is left needs one more if the short block is in it.
     src = src.withColumn("slots", F.expr(f"goal div source_size * blocks + least(blocks, (goal % source_size) div {block} + 2)")).where("goal > 0")
     every = Window.partitionBy(F.lit(0))
@@ -69,14 +70,16 @@ def _slots(src: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     shards, bins = max(1, -(-total // shard_slots)), 64 + 4 * sources
     # Multinomial counts: each slot of a shard draws u; equal bins of u make the range lookup an equi-join.
     spans = src.select("src", "lo", "hi", F.explode(F.sequence(F.least((F.col("lo") * bins).cast("long"), F.lit(bins - 1)), F.least((F.col("hi") * bins).cast("long"), F.lit(bins - 1)))).alias("bin"))
-    draws = src.sparkSession.range(total).select(F.expr(f"id div {shard_slots}").alias("shard"), _uniform(F.lit(seed), F.col("id")).alias("u"))
+    draws = spark.range(total).select(F.expr(f"id div {shard_slots}").alias("shard"), _uniform(F.lit(seed), F.col("id")).alias("u"))
     draws = draws.withColumn("bin", (F.col("u") * bins).cast("long")).join(spans, "bin").where("u >= lo and u < hi")
     counts = draws.groupBy("src", "shard").agg(F.count("*").alias("n"))
     # The draws' sums are brought to the slots each source needs, in proportion along the shards.
     by = Window.partitionBy("src")
     counts = counts.select("src", "shard", "n", F.sum("n").over(by.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)).alias("to"), F.sum("n").over(by).alias("drawn"))
     some = src.join(counts, "src", "left").withColumns({"shard": F.coalesce("shard", F.pmod(F.xxhash64("src"), F.lit(shards))), "from": F.coalesce(F.expr("cast(cast(slots as decimal(19,0)) * cast(to - n as decimal(19,0)) div cast(drawn as decimal(19,0)) as long)"), F.lit(0)), "to": F.coalesce(F.expr("cast(cast(slots as decimal(19,0)) * cast(to as decimal(19,0)) div cast(drawn as decimal(19,0)) as long)"), F.col("slots"))})
-    some = some.where("to > from").withColumn("slot", F.explode(F.expr("sequence(from, to - 1)")))
+    # A row here stands for a thousand slots: they are dealt out before each is permuted.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000))
+    some = some.where("to > from").repartition(parts, "src", "shard").withColumn("slot", F.explode(F.expr("sequence(from, to - 1)")))
     some = some.withColumns({"pass": F.expr("slot div blocks"), "at": F.expr("slot % blocks")})
     seeds = [F.lit(seed), F.col("src"), F.col("pass")]
     some = some.withColumns({"block": permuted(F.col("at"), F.col("blocks"), seeds), "short_at": permuted(F.col("blocks") - 1, F.col("blocks"), seeds, inverse=True)})
@@ -125,6 +128,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     mix = mix.groupBy("_d", "_n", "_s").agg(F.max("_copies").alias("_copies"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     rows = rows.withColumns({"_words": word_count(F.col("_row.text"))})
-    out = rows.join(mix, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_words") == F.col("_n")) & F.col("_row.source").eqNullSafe(F.col("_s")), "left")
+    out = rows.join(mix.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_words") == F.col("_n")) & F.col("_row.source").eqNullSafe(F.col("_s")), "left")
     out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)))))
     return out.select("_row.*")
