@@ -35,6 +35,8 @@ class Header:
     start: int = 0
     version: str = ""
     comments: list[str] = field(default_factory=list)
+    #: Whether other elements' lines follow the points.
+    more: bool = False
 
     @property
     def dtype(self) -> np.dtype:
@@ -105,7 +107,7 @@ def ply_header(data: bytes) -> Header:
     if next(lines, ("", 0))[0] != "ply":
         raise BadCloudFile("not a PLY file")
     kind = version = element = None
-    points, fields, comments, earlier = None, [], [], False
+    points, fields, comments, earlier, more = None, [], [], False, False
     for line, after in lines:
         words = line.split()
         if not words:
@@ -120,6 +122,8 @@ def ply_header(data: bytes) -> Header:
                 points = int(words[2])
             elif points is None and int(words[2]):
                 earlier = True
+            elif int(words[2]):
+                more = True
         elif words[0] == "property" and element == "vertex" and len(words) > 2:
             if words[1] == "list":
                 raise BadCloudFile("a vertex with a list property")
@@ -134,7 +138,7 @@ def ply_header(data: bytes) -> Header:
         raise BadCloudFile(f"PLY format {kind!r} isn't supported")
     if earlier:
         raise BadCloudFile("vertices that don't come first")
-    return Header(Format.PLY, "ascii" if kind == "ascii" else "binary", points, fields, after, version, comments)
+    return Header(Format.PLY, "ascii" if kind == "ascii" else "binary", points, fields, after, version, comments, more)
 
 
 def by_extension(path: str) -> Format:

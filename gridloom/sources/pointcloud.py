@@ -107,17 +107,37 @@ def _rows(lines: list[bytes], head: Header) -> np.ndarray:
     return np.array(out, np.float32).reshape(-1, 3)
 
 
+def _end(path: str, head: Header) -> int:
+    """Where the last of the points that the header promises ends: for text files in which other lines follow."""
+    at, left = head.start, head.points
+    with files.open_file(path) as f:
+        f.seek(at)
+        rest = b""
+        while left and (data := f.read(PIECE)):
+            lines = (rest + data).split(b"\n")
+            rest = lines.pop()
+            for line in lines:
+                at += len(line) + 1
+                words = line.split()
+                left -= bool(words) and (head.format is Format.PLY or len(words) > 2 and _numbers(words[:3]) is not None)
+                if not left:
+                    break
+        return at if not left else at + len(rest)
+
+
 class Reader(DataSourceReader):
-    def __init__(self, path: str, size: int):
+    def __init__(self, path: str, size: int, exact: bool):
         self.path, self.size = path, size
         self.head = header(path)
+        self.exact = exact or self.head.more
 
     def partitions(self):
         if self.head.kind == "binary":
             width = self.head.dtype.itemsize
             first, last, step = 0, self.head.points, max(1, self.size // width)
         else:
-            first, last, step = self.head.start, files.info(self.path).size, self.size
+            first, step = self.head.start, self.size
+            last = _end(self.path, self.head) if self.exact else files.info(self.path).size
         return [Range(self.path, a, min(last, a + step)) for a in range(first, last, step)] or [Range(self.path, first, first)]
 
     def read(self, partition: Range):
@@ -141,14 +161,24 @@ class PointCloud(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return Reader(self.options["path"], int(self.options.get("rangeBytes", RANGE)))
+        return Reader(self.options["path"], int(self.options.get("rangeBytes", RANGE)), self.options.get("exact", "false").lower() == "true")
 
 
 def load(spark: SparkSession, path: str, check: bool = True, **options) -> DataFrame:
-    """The points of a PCD or PLY file. check: whether an ASCII file must have as many points as its header says."""
+    """The points of a PCD or PLY file.
+
+    check: an ASCII file must have as many points as its header says; lines beyond them are not read. Where
+    other elements follow the points, or lines do, the file's text is first passed over to find their end.
+    """
     head = header(path)
     spark.dataSource.register(PointCloud)
-    points = spark.read.format("pointcloud").options(**options).load(path)
-    if check and head.kind == "ascii" and (n := points.count()) != head.points:
+    read = lambda **more: spark.read.format("pointcloud").options(**options, **more).load(path)
+    points = read()
+    if not check or head.kind != "ascii":
+        return points
+    n = points.count()
+    if n > head.points:
+        points, n = read(exact="true"), head.points
+    if n < head.points:
         raise BadCloudFile(f"{path}: {n} points, but its header says {head.points}")
     return points

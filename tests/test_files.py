@@ -40,7 +40,10 @@ def test_ply(spark, tmp_path):
     assert rows(pointcloud.load(spark, put(tmp_path, "a.ply", PLY))) == sorted(FOUR)
     extra = "ply\nformat ascii 1.0\nelement vertex 2\nproperty uchar red\nproperty float z\nproperty float x\nproperty double y\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n9 3 1 2\n\n8 6 4 5\n3 0 1 1\n"
     path = put(tmp_path, "b.ply", extra)
-    assert rows(pointcloud.load(spark, path, check=False).limit(2)) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
+    assert rows(pointcloud.load(spark, path)) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
+    assert rows(pointcloud.load(spark, put(tmp_path, "a2.ply", PLY + "5 5 5\n6 6 6\n"))) == sorted(FOUR)
+    with pytest.raises(Exception, match="fewer than 3 numbers"):
+        pointcloud.load(spark, put(tmp_path, "a3.ply", PLY.replace("0.0 1.0 0.0", "0.0 1.0")))
     dtype = np.dtype([("x", "<f4"), ("i", "u1"), ("y", "<f4"), ("z", "<f4")])
     data = np.zeros(5000, dtype)
     data["x"], data["y"], data["z"] = np.arange(5000), 1, np.where(np.arange(5000) == 7, np.nan, 2)
@@ -60,6 +63,7 @@ def test_pcd(spark, tmp_path):
     for size in (100, 997, 1 << 20):
         assert rows(pointcloud.load(spark, path, rangeBytes=size)) == sorted((float(i), i + 0.5, -float(i)) for i in range(3000))
     assert pointcloud.load(spark, put(tmp_path, "b.pcd", text.rstrip("\n"))).count() == 3000
+    assert pointcloud.load(spark, put(tmp_path, "b2.pcd", text + "junk\n9 9 9\n")).count() == 3000
     with pytest.raises(BadCloudFile, match="2999 points"):
         pointcloud.load(spark, put(tmp_path, "c.pcd", text.replace("7 7.5 -7\n", "seven\n", 1)))
     dtype = np.dtype([("i", "<u2"), ("n", "<f4", 3), ("x", "<f8"), ("y", "<f4"), ("z", "<f4")])
