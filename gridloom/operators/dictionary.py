@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dictionary rows of a rank window: beyond this it is cut into ranges.
-RANGE_ROWS = 200_000
+#: Dictionary rows of a rank window: beyond this it is cut into ranges, of which there are at most RANGES.
+RANGE_ROWS, RANGES = 200_000, 1024
 
 
 def ranked(rows: DataFrame, order: str, out: str, total: int, per_range: int = RANGE_ROWS) -> DataFrame:
@@ -17,7 +17,7 @@ def ranked(rows: DataFrame, order: str, out: str, total: int, per_range: int = R
     Ranges are cut at approximate quantiles; a row's rank is the number of rows of lower ranges, from a
     table of a row a range, plus its rank within its own.
     """
-    ranges = max(1, -(-total // per_range))
+    ranges = min(RANGES, max(1, -(-total // per_range)))
     if ranges == 1:
         return rows.withColumn(out, F.row_number().over(Window.orderBy(order)) - 1)
     cuts = rows.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
@@ -25,7 +25,7 @@ def ranked(rows: DataFrame, order: str, out: str, total: int, per_range: int = R
     rows = rows.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(order))))
     before = rows.groupBy("_range").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return rows.withColumn(out, within).join(F.broadcast(before.select("_range", "_base")), "_range").withColumn(out, F.col(out) + F.col("_base")).drop("_range", "_base")
+    return rows.withColumn(out, within).join(before.select("_range", "_base"), "_range").withColumn(out, F.col(out) + F.col("_base")).drop("_range", "_base")
 
 
 @dataclass(frozen=True)
