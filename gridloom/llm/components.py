@@ -14,9 +14,15 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """One round of both steps (Kiveris et al. 2014) over edges (u, v)."""
+    """One round of both steps (Kiveris et al. 2014) over edges (u, v).
+
+    In the first, a hub meets all its neighbours: its lowest are written out, so that the join has an
+    exchange of its own on each side, of which Spark can split a hub's. In the second, a node
+    meets only lower ones, few by then.
+    """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    lowest = written(_lowest(both), "lowest")
+    large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
     small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     joined = small.join(_lowest(small), "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
