@@ -98,9 +98,10 @@ def flattened(patterns: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def occupancy_rows(voxels: DataFrame, gx: int, gy: int, gz: int) -> DataFrame:
     """(row_id, mask): the dense 0/1 mask, a row of the grid along x each, in voxel order. Only for sinks."""
     rows = voxels.sparkSession.range(gy * gz).withColumnRenamed("id", "row_id")
-    filled = voxels.groupBy(F.expr(f"voxel_id div {gx}").alias("row_id")).agg(F.collect_set(F.expr(f"cast(voxel_id % {gx} as int)")).alias("xs"))
-    mask = F.transform(F.sequence(F.lit(0), F.lit(gx - 1)), lambda x: F.when(F.array_contains(F.coalesce("xs", F.array().cast("array<int>")), x), "01").otherwise("00"))
-    return rows.join(filled, "row_id", "left").select("row_id", F.unhex(F.array_join(mask, "")).alias("mask"))
+    filled = voxels.groupBy(F.expr(f"voxel_id div {gx}").alias("row_id")).agg(F.sort_array(F.collect_set(F.expr(f"cast(voxel_id % {gx} as int)"))).alias("xs"))
+    before = lambda i: F.coalesce(F.get("xs", i - 1), F.lit(-1))
+    runs = F.transform("xs", lambda x, i: F.concat(F.repeat(F.lit("00"), x - before(i) - 1), F.lit("01")))
+    return rows.join(filled, "row_id", "left").select("row_id", F.unhex(F.rpad(F.coalesce(F.array_join(runs, ""), F.lit("")), 2 * gx, "0")).alias("mask"))
 
 
 def words(voxels: DataFrame) -> DataFrame:

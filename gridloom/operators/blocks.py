@@ -39,9 +39,10 @@ def pattern_bytes(rows: DataFrame, key: str, size: int) -> DataFrame:
     """
     count = (size**3 + 7) // 8
     each = rows.select(key, F.explode_outer("bits").alias("bit")).groupBy(key, F.expr("bit div 8").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("byte"))
-    found = each.groupBy(key).agg(F.map_from_entries(F.filter(F.collect_list(F.struct("at", "byte")), lambda e: e["at"].isNotNull())).alias("bytes"))
-    hexed = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: F.lpad(F.hex(F.coalesce(F.try_element_at("bytes", b.cast("long")), F.lit(0)).cast("long")), 2, "0"))
-    return found.select(key, F.unhex(F.array_join(hexed, "")).alias("pattern"))
+    found = each.groupBy(key).agg(F.array_sort(F.filter(F.collect_list(F.struct("at", "byte")), lambda e: e["at"].isNotNull())).alias("bytes"))
+    before = lambda i: F.coalesce(F.get("bytes", i - 1)["at"], F.lit(-1))
+    hexed = F.transform("bytes", lambda e, i: F.concat(F.repeat(F.lit("00"), (e["at"] - before(i) - 1).cast("int")), F.lpad(F.hex(e["byte"].cast("long")), 2, "0")))
+    return found.select(key, F.unhex(F.rpad(F.array_join(hexed, ""), 2 * count, "0")).alias("pattern"))
 
 
 def unpacked(rows: DataFrame, key: str) -> DataFrame:
