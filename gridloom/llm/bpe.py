@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm.common import ship
+from gridloom.llm.common import held_by, ship
 from gridloom.llm.trie import Trie
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -41,7 +41,7 @@ def byte_alphabet() -> list[str]:
 
 
 class WordTrie(Trie):
-    """State: (last token of the prefix's encoding, where that token begins).
+    """State: (last token of the prefix's encoding, its length in symbols), one object for each token.
 
     The encoding of a prefix ends in the one token t that is a suffix of it, is its own encoding, and
     may follow the last token of what precedes it; two tokens may be neighbours if merging their
@@ -50,14 +50,15 @@ class WordTrie(Trie):
 
     def __init__(self, vocab: dict[str, int], merges: list, **bounds):
         self.vocab, self.rank = vocab, {tuple(m): i for i, m in enumerate(merges)}
-        self.longest = max(len(t) - len(END) * t.endswith(END) for t in vocab)
+        self.own = {t: (t, len(self.symbols(t))) for t in vocab}
+        self.longest = max(n for _, n in self.own.values())
         self.whole: dict[str, bool] = {}
         self.halves: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         super().__init__(**bounds)
 
     def begin(self):
-        return None, 0
+        return None, 0  # nothing precedes
 
     def symbols(self, token: str) -> list[str]:
         return [*token[: -len(END) - 1], token[-len(END) - 1 :]] if token.endswith(END) and len(token) > len(END) else list(token)
@@ -83,7 +84,7 @@ class WordTrie(Trie):
         key = before, token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
             found = self.pairs[key] = self.follows(None, token) and self.apart(before, token)
         return found
@@ -125,22 +126,22 @@ class WordTrie(Trie):
 
     def step(self, word, d, states, last):
         """Just one place fits; first tried are where the token before began, and the last symbol alone."""
-        tail, vocab, pairs = END if last else "", self.vocab, self.pairs
-        longer, tried = states[d - 1][1], d - 1
-        for j in (longer, tried) if longer != tried else (tried,):
-            token = word[j:d] + tail
-            if token in vocab:
+        tail, own, pairs = END if last else "", self.own, self.pairs
+        n = states[d - 1][1]
+        for j in (d - 1 - n, d - 1) if n else (d - 1,):
+            state = own.get(word[j:d] + tail)
+            if state is not None:
                 before = states[j][0]
-                fits = pairs.get((before, token))
-                if fits or fits is None and self.follows(before, token):
-                    return token, j
+                fits = pairs.get((before, state[0]))
+                if fits or fits is None and self.follows(before, state[0]):
+                    return state
         for j in range(d - 2, max(-1, d - 1 - self.longest), -1):
-            token = word[j:d] + tail
-            if token in vocab and j != longer:
+            state = own.get(word[j:d] + tail)
+            if state is not None:
                 before = states[j][0]
-                fits = pairs.get((before, token))
-                if fits or fits is None and self.follows(before, token):
-                    return token, j
+                fits = pairs.get((before, state[0]))
+                if fits or fits is None and self.follows(before, state[0]):
+                    return state
         raise ValueError(f"no token ends at {d} in {word[:40]!r}")
 
     def encode(self, words) -> dict[str, list[int]]:
@@ -148,7 +149,8 @@ class WordTrie(Trie):
         for word, states in self.walk(words):
             d, ids = len(word), []
             while d:
-                token, d = states[d]
+                token, n = states[d]
+                d -= n
                 ids.append(vocab[token])
             ids.reverse()
             out[word] = ids
@@ -158,7 +160,7 @@ class WordTrie(Trie):
 class Codec:
     """Encoder and decoder of texts for one vocabulary file; caches are bounded."""
 
-    def __init__(self, source: str, max_chunks: int = 600_000):
+    def __init__(self, source: str, max_chunks: int = 200_000):
         model = json.loads(source)
         self.library = Tokenizer.from_str(source)
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
@@ -166,7 +168,7 @@ class Codec:
         vocab = model["model"]["vocab"]
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.shown = {i: str(i) for i in self.names}
-        self.trie, self.bytes = WordTrie(vocab, model["model"]["merges"]), dict(enumerate(byte_alphabet()))
+        self.trie, self.bytes = WordTrie(vocab, model["model"]["merges"], max_nodes=200_000), dict(enumerate(byte_alphabet()))
         self.max_chunks = max_chunks
         #: Of each chunk met: its ids as text, and what they decode to.
         self.known: dict[str, tuple[str, str]] = {}
@@ -225,16 +227,13 @@ class Codec:
                 gc.enable()
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(source: str) -> Codec:
     """One codec a Python worker."""
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(source)
-    return _codecs[key]
+    kept, key = held_by("bpe"), hashlib.sha256(source.encode()).hexdigest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = Codec(source)
+    return kept[key]
 
 
 def by_size(texts, chars: int = 1_000_000):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _temporary() -> str:
+    """A folder on the driver's machine, gone when its process ends."""
+    path = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -27,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        found = "file://" + _temporary()
     else:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gridloom"
     spark.conf.set("spark.checkpoint.dir", found)
@@ -38,19 +49,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Of an Arrow batch on its way to Python.
+BATCH_BYTES = 4 << 20
+
 _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once an application, so that their Python workers can import it.
 
-    Wherever the package is installed on them already, the copy says the same.
+    Wherever the package is installed on them already, the copy says the same. Arrow batches are bounded in
+    bytes as well, for long texts: a worker holds a batch in several forms at a time.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="gridloom-"), "gridloom.zip")
+    path = os.path.join(_temporary(), "gridloom.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for name in names:
@@ -62,6 +78,24 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = path
 
 
+_holders: dict[str, dict] = {}
+
+
+def held_by(operator: str) -> dict:
+    """What an operator keeps in a Python worker. A worker outlives its stage: the first use by one operator
+    lets go of what the others keep there, so that caches don't add up, and of memory that allocators hold."""
+    if operator not in _holders:
+        for kept in _holders.values():
+            kept.clear()
+        _holders.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+        _holders[operator] = {}
+    return _holders[operator]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import drop, ship, written
+from gridloom.llm.common import drop, held_by, ship, written
 from gridloom.llm.fingerprints import _GOLD, _mix
 
 #: A repeated run is deleted if it has at least so many words.
@@ -84,6 +84,7 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     schema = "doc_id long, hash long, start int, length int, a long, b long, again boolean"
 
     def find(batches):
+        held_by("lines")
         for batch in batches:
             ids, hashes, at = batch.column(0), batch.column(1), 0
             for run in by_size(t or "" for t in batch.column(2).to_pylist()):
@@ -107,6 +108,7 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    held_by("lines")
     rows = []
     for text, own in zip(texts, spans):
         if text is None:
@@ -131,7 +133,8 @@ def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
     spans = _spans(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "spans").hint("merge")  # alike at every size: a broadcast would pass its bound somewhere
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     rows = rows.join(spans, (F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NONE)) == F.col("_d")) & (F.xxhash64("_row.text") == F.col("_h")), "left")
-    cut = F.pandas_udf(_cut, "n_lines long, n_deleted long, text string")
+    # Not to be evaluated once for a filter and again for a projection.
+    cut = F.pandas_udf(_cut, "n_lines long, n_deleted long, text string").asNondeterministic()
     return rows.select("_row", cut(F.col("_row.text"), F.col("spans")).alias("_cut"))
 
 

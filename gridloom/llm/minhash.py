@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import drop, ship, written
+from gridloom.llm.common import drop, held_by, ship, written
 from gridloom.llm.components import components
 from gridloom.llm.fingerprints import _GOLD, _mix
 
@@ -38,20 +38,18 @@ class _Hashes(dict):
         return h
 
 
-_known = _Hashes()
-
-
 def shingles(texts: list[str], words: int):
     """Distinct shingle hashes of texts, sorted within each -> (hashes, number of each text).
 
     Words are runs of other than space and \\x09-\\x0D, A-Z lower-cased: just what bytes.lower and bytes.split
     do in UTF-8. A text of fewer words has them all as its one shingle, a text of none has none.
     """
-    if len(_known) > 400_000:
-        _known.clear()
+    known = held_by("shingles").setdefault("words", _Hashes())
+    if len(known) > 300_000:
+        known.clear()
     split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
-    h = np.fromiter(map(_known.__getitem__, chain.from_iterable(split)), np.uint64, n.sum())
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, n.sum())
     end = np.cumsum(n)
     size = np.where(n >= words, n - words + 1, np.minimum(n, 1))
     of = np.repeat(np.arange(len(texts)), size)

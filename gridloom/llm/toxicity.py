@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import ship
+from gridloom.llm.common import held_by, ship
 
 #: Words of a window, words from one window's start to the next, GRU units a direction, numbers a word and a character input has, n-gram buckets.
 LENGTH, STRIDE, UNITS, WIDTH, BUCKETS = 32, 24, 8, 8, 1 << 14  # buckets: 14 bits
@@ -57,7 +57,13 @@ class Model:
         return np.fromiter((self.vocab.get(w, 0) for w in plain), np.int64, len(plain)), grams, np.cumsum(n) - n, (1 / np.sqrt(n)).astype(np.float32)
 
     def embed(self, rows, grams, at, scale):
-        return np.concatenate([self.p["Ew"][rows], np.add.reduceat(self.p["Ec"][grams], at) * scale[:, None]], axis=1)
+        out = np.empty((len(rows), 2 * WIDTH), self.p["Ec"].dtype)
+        out[:, :WIDTH] = self.p["Ew"][rows]
+        for i in range(0, len(rows), 8192):  # in parts, as a word has some thirty grams
+            j = min(i + 8192, len(rows))
+            part = grams[at[i] : at[j] if j < len(rows) else len(grams)]
+            out[i:j, WIDTH:] = np.add.reduceat(self.p["Ec"][part], at[i:j] - at[i]) * scale[i:j, None]
+        return out
 
     def project(self, e):
         """What every word adds to the gates, for both directions."""
@@ -135,7 +141,7 @@ def windows(ids: np.ndarray, sizes: np.ndarray):
     within = start[:, None] + np.arange(LENGTH)
     base = (np.cumsum(sizes) - sizes)[of]
     there = within < sizes[of][:, None]
-    padded = np.append(ids, 0)
+    padded = np.append(ids, ids.dtype.type(0))
     return np.where(there, padded[np.where(there, base[:, None] + within, len(ids))], 0), of
 
 
@@ -158,8 +164,11 @@ def train(texts: list[str], labels: list[int], positives: float, seed: int = 4,
     """
     rng = np.random.default_rng(seed)
     labels = np.array(labels, np.float32)
-    split = [t.split() for t in texts]
-    seen = Counter(w for ws in split for w in {EDGE.sub("", w).lower() for w in ws})
+    number: dict[str, int] = {}
+    rows = [np.array([number.setdefault(w, len(number) + 1) for w in t.split()], np.int32) for t in texts]
+    distinct = list(number)
+    plain = [EDGE.sub("", w).lower() for w in distinct]
+    seen = Counter(w for r in rows for w in {plain[i - 1] for i in set(r.tolist())})
     vocab = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:20_000]) if c >= 3}
     init = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
     p = {"Ew": init(len(vocab) + 1, WIDTH, scale=0.1), "Ec": init(BUCKETS, WIDTH, scale=0.1), "va": init(2 * UNITS, scale=0.3), "wo": init(2 * UNITS, scale=0.3), "bo": np.zeros(1, np.float32)}
@@ -169,10 +178,9 @@ def train(texts: list[str], labels: list[int], positives: float, seed: int = 4,
     if not texts or labels.min() == labels.max():
         model.final = np.array([0, 0, 0, np.log((positives + 1e-3) / (1 - positives + 1e-3))])
         return model
-    distinct = sorted({w for ws in split for w in ws})
-    number = {w: i + 1 for i, w in enumerate(distinct)}
     feats = model.inputs(distinct or [""])
-    ids, of = windows(np.array([number[w] for ws in split for w in ws], np.int64), np.array([len(ws) for ws in split]))
+    ids, of = windows(np.concatenate(rows), np.array([len(r) for r in rows]))
+    del number, distinct, plain, rows
     fit = rng.random(len(texts)) < 0.67
     mine = np.flatnonzero(fit[of])
     momentum = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
@@ -282,7 +290,7 @@ class Scorer:
             self.number |= {w: len(self.table) + i for i, w in enumerate(new)}
             self.table = np.concatenate([self.table, self.model.project(self.model.embed(*self.model.inputs(new)))])
         sizes = np.array([len(ws) for ws in split])
-        ids = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+        ids = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int32, sizes.sum())
         ids, of = windows(ids, sizes)
         x = text_features(window_logits(self.model.p, self.table, ids), of, len(texts))
         return np.where(sizes > 0, _sigmoid(x @ self.model.final), 0).round(6)
@@ -310,9 +318,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([r.text for r in rows], [r._toxic for r in rows], n.get(True, 0) / max(1, sum(n.values())))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """The score of each whole text; the model, of fixed size, is broadcast."""
     ship(spark)
@@ -320,11 +325,10 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        model = sent.value
-        if id(model) not in _scorers:
-            _scorers.clear()
-            _scorers[id(model)] = Scorer(model)
-        own = _scorers[id(model)]
+        kept, model = held_by("toxicity"), sent.value
+        if kept.get("model") is not model:
+            kept |= {"model": model, "scorer": Scorer(model)}
+        own = kept["scorer"]
         return pd.Series([x for run in by_size(texts.fillna("")) for x in own.score(run)], dtype=float)
 
     return score(text)

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+END = 0x110000
+SPAN = 2 * END
+
+
 class Trie:
     """Subclasses give begin() -> the root's state, and step(word, d, states, last) -> the state of word[:d].
 
@@ -17,8 +21,8 @@ class Trie:
         self.clear()
 
     def clear(self):
-        self.edges: dict[tuple[int, str], int] = {}
-        self.ends: dict[int, object] = {}
+        #: Child of a node, by node and character in one number; a word's end as a character beyond Unicode's.
+        self.edges: dict[int, int] = {}
         self.state = [self.begin()]
 
     def walk(self, words):
@@ -40,16 +44,17 @@ class Trie:
             node, states, edges, state, d = 0, [self.state[0]], self.edges, self.state, 0
             for c in word[:-1]:
                 d += 1
-                to = edges.get((node, c))
+                key = node * SPAN + ord(c)
+                to = edges.get(key)
                 if to is None:
-                    to = edges[node, c] = len(state)
+                    to = edges[key] = len(state)
                     state.append(self.step(word, d, states, False))
                 node = to
                 states.append(state[node])
-            end = (node, "\n" + word[-1])  # another symbol than the same character within a word
-            to = edges.get(end)
+            key = node * SPAN + ord(word[-1]) + END
+            to = edges.get(key)
             if to is None:
-                to = edges[end] = len(state)
+                to = edges[key] = len(state)
                 state.append(self.step(word, n, states, True))
             states.append(state[to])
             yield word, states

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import WORD, ship
+from gridloom.llm.common import WORD, held_by, ship
 from gridloom.llm.trie import Trie
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -67,8 +67,8 @@ class UnigramTrie(Trie):
 
 
 class Counter:
-    def __init__(self, model: bytes, max_words: int = 400_000):
-        self.trie, self.known, self.max_words = UnigramTrie(piece_scores(model)), {}, max_words
+    def __init__(self, model: bytes, max_words: int = 200_000):
+        self.trie, self.known, self.max_words = UnigramTrie(piece_scores(model), max_nodes=200_000), {}, max_words
 
     def count(self, texts: list[str]):
         split = [WORDS.findall(t) for t in texts]
@@ -79,9 +79,6 @@ class Counter:
         return [(len(ws), sum(map(self.known.__getitem__, ws))) for ws in split]
 
 
-_counters: dict[bytes, Counter] = {}
-
-
 def count_column(df: DataFrame, text: Column, vocabulary: str = VOCABULARY) -> Column:
     ship(df.sparkSession)
     with open(vocabulary, "rb") as f:
@@ -89,10 +86,10 @@ def count_column(df: DataFrame, text: Column, vocabulary: str = VOCABULARY) -> C
 
     @F.pandas_udf("n_words long, n_tokens long")
     def count(texts: pd.Series) -> pd.DataFrame:
-        if model.value not in _counters:
-            _counters.clear()
-            _counters[model.value] = Counter(model.value)
-        rows = [x for run in by_size(texts.fillna("")) for x in _counters[model.value].count(run)]
+        kept = held_by("unigram")
+        if kept.get("model") != model.value:
+            kept |= {"model": model.value, "counter": Counter(model.value)}
+        rows = [x for run in by_size(texts.fillna("")) for x in kept["counter"].count(run)]
         return pd.DataFrame(rows, columns=["n_words", "n_tokens"])
 
     return count(text)
