@@ -274,7 +274,7 @@ def _logistic(x, y, weight, ridge: float = 1e-2):
 class Scorer:
     """Scores texts, to six places; the projections of the words met are kept, up to a bound."""
 
-    def __init__(self, model: Model, max_words: int = 200_000):
+    def __init__(self, model: Model, max_words: int = 100_000):
         self.model, self.max_words = model, max_words
         self.clear()
 
