@@ -20,14 +20,40 @@ LENGTH, STRIDE, UNITS, WIDTH, BUCKETS = 32, 24, 8, 8, 1 << 14  # buckets: 14 bit
 #: The classifier is fitted on at most so many labelled documents of each label, none longer than SAMPLE_CHARS.
 SAMPLE, SAMPLE_CHARS = 1500, 30_000
 THRESHOLD = 0.7
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+EDGE, INNER = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[^\W_]")
+#: A word of over PIECE characters is read in pieces of so many, each with the last LAP characters of the one before.
+PIECE, LAP = 64, 5
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, that white space parts. A word of over PIECE characters, as in texts without white
+    space, stands as its pieces: lower-cased, without its edges and marked by a space in front, which no word
+    has. They overlap, so that every n-gram of the word lies whole in some piece.
+    """
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= PIECE:
+            out.append(w)
+            continue
+        first, last = INNER.search(w), INNER.search(w[::-1])
+        w = w[first.start() : len(w) - last.start()].lower() if first else ""
+        out += [f" {w[i : i + PIECE]}" for i in range(0, max(1, len(w) - LAP), PIECE - LAP)]
+    return out
+
+
+def plain_words(words: list[str]) -> list[str]:
+    """Words without their edges, lower-cased; pieces are so already."""
+    return [w[1:] if w[:1] == " " else EDGE.sub("", w).lower() for w in words]
 
 
 def _grams(words: list[str]):
     """Buckets of the character 3- to 6-grams of each word, with its ends marked: all in a row, and how many each has."""
-    text = "".join([f"^{w[:64]}$$" for w in words])
+    text = "".join([f"^{w}$$" for w in words])
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 64) + 3
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(len(c))
     padded, buckets = np.append(c, np.zeros(5, np.uint64)), np.empty((len(c), 4), np.int32)
@@ -52,7 +78,7 @@ class Model:
 
     def inputs(self, words: list[str]):
         """Word rows, gram buckets, where each word's grams begin, 1 / sqrt(number of grams)."""
-        plain = [EDGE.sub("", w).lower() for w in words]
+        plain = plain_words(words)
         grams, n = _grams(plain)
         return np.fromiter((self.vocab.get(w, 0) for w in plain), np.int64, len(plain)), grams, np.cumsum(n) - n, (1 / np.sqrt(n)).astype(np.float32)
 
@@ -165,9 +191,9 @@ def train(texts: list[str], labels: list[int], positives: float, seed: int = 4,
     rng = np.random.default_rng(seed)
     labels = np.array(labels, np.float32)
     number: dict[str, int] = {}
-    rows = [np.array([number.setdefault(w, len(number) + 1) for w in t.split()], np.int32) for t in texts]
+    rows = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)], np.int32) for t in texts]
     distinct = list(number)
-    plain = [EDGE.sub("", w).lower() for w in distinct]
+    plain = plain_words(distinct)
     seen = Counter(w for r in rows for w in {plain[i - 1] for i in set(r.tolist())})
     vocab = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:20_000]) if c >= 3}
     init = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
@@ -282,7 +308,7 @@ class Scorer:
         self.number, self.table = {}, np.zeros((1, 6 * UNITS), np.float32)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        split = [t.split() for t in texts]
+        split = [words_of(t) for t in texts]
         if len(self.number) > self.max_words:
             self.clear()
         new = list(set(chain.from_iterable(split)).difference(self.number))
@@ -337,7 +363,7 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (score >= THRESHOLD) of every document.
 
-    All windows of the whole text are scored. Texts without words, null ones too, score 0; a null doc_id is
+    The windows, STRIDE words apart, cover the whole text, whether white space parts it or not. Texts without words, null ones too, score 0; a null doc_id is
     scored and not held out; repeated rows score alike; an empty table gives no rows, and without labels
     of both kinds every score is their share; other columns are ignored.
     """

@@ -20,6 +20,29 @@ def test_windows_cover_texts():
         assert all(b - a <= T.STRIDE for a, b in zip(starts, starts[1:])) and len(own) >= 1
 
 
+def test_long_words_are_read_whole():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 64, 65, 123, 124, 1000):
+        inner = "".join(rng.choice(list("ab_-é中"), max(0, n - 2)))
+        word = "--" + ("x" + inner + "y")[:n] + "_." * 40
+        pieces = T.plain_words(T.words_of(f"a {word} b"))
+        plain = T.EDGE.sub("", word).lower()
+        assert pieces[0] == "a" and pieces[-1] == "b" and all(len(p) <= T.PIECE for p in pieces)
+        for size in (1, 6):
+            assert {plain[i : i + size] for i in range(len(plain) - size + 1)} <= {p[i : i + size] for p in pieces[1:-1] for i in range(len(p) - size + 1)}
+    assert T.words_of("İ" * 64) == ["İ" * 64] and len(T._grams(["i̇" * 64])[0]) == 4 * 131 - 2 - 3 - 4 - 5
+
+
+def test_toxic_passage_late_in_unspaced_text():
+    rng = np.random.default_rng(5)
+    plain = lambda: "".join(rng.choice(list("天地人你我他好大小上下中"), 300))
+    clean = [plain() + plain()[:60] for _ in range(430)]
+    toxic = [plain() + "笨蛋白痴滚开" * 3 + plain()[:42] for _ in range(430)]
+    model = T.train(clean[:400] + toxic[:400], [0] * 400 + [1] * 400, 0.5)
+    low, high = T.Scorer(model).score(clean[400:]), T.Scorer(model).score(toxic[400:])
+    assert (low < T.THRESHOLD).mean() > 0.9 and (high >= T.THRESHOLD).mean() > 0.9
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     words = ["idiot", "the", "a", "über", "", "x" * 90]
