@@ -90,8 +90,9 @@ def _signatures(hashes, n):
 SIGNED = "doc_id long, n long, a long, b long, " + ", ".join(f"s{k} long" for k in range(CHUNKS))
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, number of shingles, name (a, b) of the shingle set and signature of every whole text."""
+def signed(docs: DataFrame, words: int, *more: str) -> DataFrame:
+    """doc_id, number of shingles, name (a, b) of the shingle set and signature of every whole text; columns `more`, longs, go along."""
+    schema = ", ".join([SIGNED, *(f"{c} long" for c in more)])
 
     def sign(batches):
         for batch in batches:
@@ -99,10 +100,10 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             for run in by_size(t or "" for t in batch.column(1).to_pylist()):
                 hashes, n = shingles(run, words)
                 marks, sig = _marks(hashes, n), _signatures(hashes, n)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(run)), pa.array(n), pa.array(marks[:, 0]), pa.array(marks[:, 1]), *(pa.array(sig[:, k]) for k in range(CHUNKS))], names=[x.split()[0] for x in SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(run)), pa.array(n), pa.array(marks[:, 0]), pa.array(marks[:, 1]), *(pa.array(sig[:, k]) for k in range(CHUNKS)), *(batch.column(2 + k).slice(at, len(run)) for k in range(len(more)))], names=[x.split()[0] for x in schema.split(", ")])
                 at += len(run)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(sign, schema)
 
 
 def _keys() -> Column:
@@ -271,26 +272,42 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     others; a component of them alone has a null component_id, and there null is kept. Repeated rows are
     rows of one class. An empty table gives no rows; other columns are ignored.
     """
+    return _grouped(docs, rule).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, rule: Rule, *more: str) -> DataFrame:
+    """doc_id, n, component_id and `more` of each row, and the number of its group; no group for a row like no other."""
     ship(docs.sparkSession)
-    rows = written(signed(docs, rule.words), "near-rows")
+    rows = written(signed(docs, rule.words, *more), "near-rows")
     grouped = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", *(f"s{k}" for k in range(CHUNKS)))])
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     links = _links(classes, docs, rule)
     roots = components(links).withColumnRenamed("node", "_node")
     reps = classes.select("node", "a", "b", "rep", "rows").join(roots, F.col("node") == F.col("_node"), "left")
     lowest = reps.where("root is not null").groupBy("root").agg(F.min("rep").alias("lowest"))
-    reps = reps.where("rows > 1 or root is not null").join(lowest, "root", "left").select("a", "b", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("lowest")).alias("component_id"), F.lit(True).alias("grouped"))
-    out = rows.select("doc_id", "n", "a", "b").join(reps, ["a", "b"], "left")
-    out = out.withColumn("component_id", F.when(F.col("grouped") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    reps = reps.where("rows > 1 or root is not null").join(lowest, "root", "left").select("a", "b", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("root", "node").alias("group"))
+    out = rows.select("doc_id", "n", "a", "b", *more).join(reps, ["a", "b"], "left")
+    group = F.when(F.col("n") > 0, F.col("group"))
+    return out.select("doc_id", "n", F.when(group.isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), group.alias("group"), *more)
 
 
 def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One document of each group stays, with all its columns.
+    """One row of each group stays, with all its columns: the first by doc_id, null last, then by hashes of the text.
 
-    Rows that repeat a doc_id go only if none of them is kept.
+    Decided by row, whatever other rows have its doc_id. Of rows that agree in doc_id and text one stays,
+    any of them. Rows without words are in no group and stay.
     """
-    found = near_duplicates(docs, rule).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone")), "near-gone")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    return rows.join(gone.hint("merge"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    key = ["_none", "_id", "_x", "_y"]
+    named = lambda c: dict(zip(key, (F.col(f"{c}doc_id").isNull(), F.coalesce(F.col(f"{c}doc_id").cast("long"), F.lit(0)), F.xxhash64(f"{c}text"), F.xxhash64(F.lit(1), f"{c}text"))))
+    marked = docs.select("doc_id", "text", *[named("")[c].alias(c) for c in key[2:]])
+    found = _grouped(marked, rule, *key[2:]).where("group is not null")
+    found = written(found.groupBy("group", F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), *key[2:]).agg(F.count("*").alias("times")), "near-found")
+    first = written(found.groupBy("group").agg(F.min(F.struct(*key, "times")).alias("first")).select("first.*"), "near-first")
+    gone = written(found.select(*key).join(first.select(*key).hint("merge"), key, "left_anti"), "near-gone")
+    rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumns(named("_row."))
+    rows = rows.join(gone.hint("merge"), key, "left_anti")
+    again = first.where("times > 1").select(*key)
+    if again.isEmpty():
+        return rows.select("_row.*")
+    one = rows.join(again.hint("merge"), key, "left_semi").groupBy(*key).agg(F.first("_row").alias("_row"))
+    return rows.join(again.hint("merge"), key, "left_anti").select("_row.*").unionAll(one.select("_row.*"))

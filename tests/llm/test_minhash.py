@@ -80,6 +80,16 @@ def test_chains_and_odd_rows(spark):
     assert minhash.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (None, text(1)), (None, text(1) + " and"), (None, text(2)), (2, text(3)), (5, text(3)), (5, text(4)), (7, text(5)), (7, text(5)), (None, text(6)), (None, text(6)), (None, text(6).upper()), (None, ""), (None, ""), (8, None), (8, None)]
+    df = spark.createDataFrame([(t, d, "s") for d, t in rows], "text string, doc_id int, group string")
+    got = minhash.without_near_duplicates(df).collect()
+    kept = [(r.doc_id, r.text and r.text.lower()) for r in got]
+    want = [(1, text(1)), (None, text(2)), (2, text(3)), (5, text(4)), (7, text(5)), (None, text(6)), (None, ""), (None, ""), (8, None), (8, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str) and got[0].group == "s"
+
+
 def test_pairs_within_the_distance_share_a_key(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 16, (300, minhash.SYMBOLS), dtype=np.uint16)
