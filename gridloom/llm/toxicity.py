@@ -16,7 +16,7 @@ from gridloom.llm.bpe import by_size
 from gridloom.llm.common import held_by, ship
 
 #: Words of a window, words from one window's start to the next, GRU units a direction, numbers a word and a character input has, n-gram buckets.
-LENGTH, STRIDE, UNITS, WIDTH, BUCKETS = 32, 24, 8, 8, 1 << 14  # buckets: 14 bits
+LENGTH, STRIDE, UNITS, WIDTH, BUCKETS = 32, 16, 8, 8, 1 << 14  # buckets: 14 bits
 #: The classifier is fitted on at most so many labelled documents of each label, none longer than SAMPLE_CHARS.
 SAMPLE, SAMPLE_CHARS = 1500, 30_000
 THRESHOLD = 0.7

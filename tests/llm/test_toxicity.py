@@ -20,6 +20,13 @@ def test_windows_cover_texts():
         assert all(b - a <= T.STRIDE for a, b in zip(starts, starts[1:])) and len(own) >= 1
 
 
+def test_short_passages_lie_whole_in_a_window():
+    sizes = np.array([400])
+    found, _ = T.windows(np.arange(1, 401), sizes)
+    for n in range(1, T.LENGTH // 2 + 2):
+        assert all(any({i, i + n - 1} <= set(w) for w in found.tolist()) for i in range(1, 402 - n))
+
+
 def test_long_words_are_read_whole():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 64, 65, 123, 124, 1000):
