@@ -63,13 +63,18 @@ class Lists:
         Sorted access goes down the lists of all dimensions a query has, from the end that its sign
         prefers, in rounds of growing depth; what is met is scored in full. A query stops when the bound
         of all rows not met, the product with the values where its lists stand, is below its kth best
-        score; those that would meet most rows anyhow score the rest of the block at once.
+        score; once its lists may have named half of the rows, the whole block is scored at once.
         """
         most = int(np.abs(self.rows).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
         kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
         x, q, n = self.rows.astype(kind), queries.astype(kind), len(self.rows)
-        found, active, depth = {}, np.arange(len(q)), 2 * (k + 1)
-        while len(active) and 4 * depth * max(1, q.shape[1]) <= n:
+        uses = np.maximum(1, np.count_nonzero(queries, axis=1))
+        found, scan, active, depth = {}, [], np.arange(len(q)), 1
+        while len(active):
+            far = 2 * depth * uses[active] > n
+            scan, active = scan + active[far].tolist(), active[~far]
+            if not len(active):
+                break
             high, low = self.values[n - 1 - depth], self.values[depth]
             bound = np.maximum(queries[active], 0) @ high + np.minimum(queries[active], 0) @ low
             going = []
@@ -84,8 +89,8 @@ class Lists:
                     going.append(i)
             active, depth = np.array(going, int), 4 * depth
         every = np.arange(n)
-        for part in range(0, len(active), 256):
-            rest = active[part : part + 256]
+        for part in range(0, len(scan), 256):
+            rest = scan[part : part + 256]
             for i, scores in zip(rest, q[rest] @ x.T):
                 found[i] = self.best(query_ids[i], every, scores, k)
         return [(i, d, s) for i, best in sorted(found.items()) for d, s in best]

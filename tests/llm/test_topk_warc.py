@@ -58,6 +58,21 @@ def test_early_stop_keeps_ties():
             assert [(-s, d) for n, d, s in got if n == i] == want
 
 
+def test_blocks_of_64_dimensions_enter_the_lists(monkeypatch):
+    """All queries begin by sorted access; those of skewed blocks stop there, the others scan."""
+    rng = np.random.default_rng(1)
+    met, best = [], topk.Lists.best
+    monkeypatch.setattr(topk.Lists, "best", lambda self, own, rows, *a: met.append(len(rows)) or best(self, own, rows, *a))
+    for rows, stops in ((rng.integers(-40, 40, (7000, 64)), False), (np.floor(np.exp(3 * rng.standard_normal((7000, 1)))) * rng.integers(50, 60, (7000, 64)), True)):
+        rows, ids = rows.astype(np.int64), rng.permutation(7000)
+        met.clear()
+        got = topk.Lists(ids, rows, 20).search(ids[:30], rows[:30], 20)
+        assert sum(n < 4000 for n in met) >= 30 and any(n > 4000 for n in met) != stops
+        for i in range(30):
+            want = sorted((-s, d) for s, d in zip((rows @ rows[i]).tolist(), ids.tolist()) if d != ids[i])[:20]
+            assert [(-s, d) for n, d, s in got if n == i] == want
+
+
 def test_records_round_trip():
     rng = random.Random(1)
     payloads = [b"", b"x", bytes(rng.randrange(256) for _ in range(300_000)), b"a\r\n\r\nWARC/1.1\r\n" * 50, "é🙂".encode() * 999]
