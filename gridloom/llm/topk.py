@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,24 +14,34 @@ from gridloom.llm.common import ship
 
 #: Rows of a block of candidates and of one of queries: what one task holds at a time.
 CANDIDATES, QUERIES = 8192, 2048
-#: Components stop here, so that scores fit 64 bits.
+#: Vectors with components beyond LIMIT are scored in whole numbers of any size, others in 64 bits.
 LIMIT = 1 << 26
+#: Scores stop here.
+MOST = (1 << 63) - 1
 
 
 def scaled(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as a double, within +-LIMIT."""
+    """floor(scale * x) of each component, within +-LIMIT."""
     return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * F.lit(float(scale)), F.lit(float(-LIMIT))), F.lit(float(LIMIT)))).cast("int"))
 
 
+def wide(vector: Column, scale: int = 64) -> Column:
+    """floor(scale * x) of each component as a double, for vectors that have some beyond +-LIMIT; null for others."""
+    most = F.lit(sys.float_info.max)
+    exact = F.transform(vector, lambda x: F.least(F.greatest(x.cast("double") * F.lit(float(scale)), -most), most))
+    whole = F.transform(exact, lambda y: F.when(F.abs(y) < F.lit(float(1 << 53)), F.floor(y).cast("double")).otherwise(y))
+    return F.when(F.exists(whole, lambda y: F.abs(y) > F.lit(float(LIMIT))), whole)
+
+
 def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
-def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+def _matrix(vectors: pa.Array, width: int, kind=np.int64) -> np.ndarray:
     """Rows padded with zeros to one width."""
     sizes = np.diff(vectors.offsets.to_numpy())
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(sizes), width), np.int64)
+    out = np.zeros((len(sizes), width), kind)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
@@ -110,27 +123,45 @@ class Lists:
         return list(zip(ids[order].tolist(), scores[order].tolist()))
 
 
+def _search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """What Lists finds, as (query id, id, score), for one row of each id, whatever its size."""
+    limit = min(LIMIT, math.isqrt(MOST // max(1, rows.shape[1])))
+    over, asked = (np.abs(x).max(axis=1, initial=0) > limit for x in (rows, queries))
+    out = []
+    if not over.all() and not asked.all():
+        own = query_ids[~asked]
+        out = [(int(own[i]), d, s) for i, d, s in Lists(ids[~over], rows[~over].astype(np.int64), k).search(own, queries[~asked].astype(np.int64), k)]
+    if over.any() or asked.any():
+        exact = lambda m: np.array([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
+        large, every = exact(rows[over]), exact(rows if asked.any() else rows[:0])
+        for own, q, is_over in zip(query_ids.tolist(), exact(queries), asked):
+            among, x = (ids, every) if is_over else (ids[over], large)
+            scored = [(max(-MOST, min(MOST, s)), d) for s, d in zip((x @ q).tolist(), among.tolist()) if d != own]
+            out += [(own, d, s) for s, d in sorted(scored, key=lambda c: (-c[0], c[1]))[:k]]
+    return out
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest integer inner product with each query.
 
     vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by `every`; candidates are all
     rows but the query's own; ties go to the smaller vec_id. Rows with a null vec_id, and vectors that are
     null or hold null or non-finite components, take no part; shorter vectors count as zero beyond
-    their end; of rows that repeat a vec_id the one with the lowest vector counts; components beyond +-LIMIT
-    once scaled count as LIMIT. An empty table gives no rows; other columns are ignored.
+    their end; of rows that repeat a vec_id the one with the lowest vector counts; scores beyond 64 bits count
+    as +-MOST, and tie there. An empty table gives no rows; other columns are ignored.
 
     Candidates and queries are dealt into blocks of bounded size by a hash of vec_id; each pair of blocks is a
     task's group, whose best rows alone go on. Equal vectors within a block are scored once.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = rows.select("vec_id", scaled(F.col("embedding"), scale).alias("v"))
+    rows = rows.select("vec_id", scaled(F.col("embedding"), scale).alias("v"), wide(F.col("embedding"), scale).alias("wide"))
     n = rows.agg(F.count("*").alias("rows"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries")).first()
     blocks, groups = max(1, -(-n.rows // CANDIDATES)), max(1, -(-n.queries // QUERIES))
     deal = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    candidates = rows.select(deal(blocks, 1).alias("block"), each(groups).alias("part"), F.lit(0).alias("query"), "vec_id", "v")
-    queries = rows.where(F.col("vec_id") % every == 0).select(each(blocks).alias("block"), deal(groups, 2).alias("part"), F.lit(1).alias("query"), "vec_id", "v")
+    candidates = rows.select(deal(blocks, 1).alias("block"), each(groups).alias("part"), F.lit(0).alias("query"), "vec_id", "v", "wide")
+    queries = rows.where(F.col("vec_id") % every == 0).select(each(blocks).alias("block"), deal(groups, 2).alias("part"), F.lit(1).alias("query"), "vec_id", "v", "wide")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -139,12 +170,16 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         lists = table.column("v").chunk(0) if table.column("v").num_chunks else pa.array([], pa.list_(pa.int32()))
         width = int(np.diff(lists.offsets.to_numpy()).max(initial=0))
         matrix, ids = _matrix(lists, width), table.column("vec_id").to_numpy()
+        large = np.asarray(table.column("wide").is_valid())
+        if large.any():
+            matrix = matrix.astype(float)
+            matrix[large] = _matrix(table.column("wide").combine_chunks().drop_null(), width, float)
         is_query = table.column("query").to_numpy() == 1
         if is_query.all() or not is_query.any():
             return out.empty_table()
         query_ids, wanted = _first_of_each(ids[is_query], matrix[is_query])
-        got = Lists(ids[~is_query], matrix[~is_query], k).search(query_ids, wanted, k)
-        return pa.table([pa.array([int(query_ids[i]) for i, *_ in got], pa.int64()), pa.array([d for _, d, _ in got], pa.int64()), pa.array([s for *_, s in got], pa.int64())], schema=out)
+        got = _search(*_first_of_each(ids[~is_query], matrix[~is_query]), query_ids, wanted, k)
+        return pa.table([pa.array([i for i, *_ in got], pa.int64()), pa.array([d for _, d, _ in got], pa.int64()), pa.array([s for *_, s in got], pa.int64())], schema=out)
 
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     found = candidates.unionAll(queries).groupBy("block", "part").applyInArrow(search, "query_id long, vec_id long, score long")

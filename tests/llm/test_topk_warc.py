@@ -44,6 +44,21 @@ def test_odd_vectors(spark):
     assert topk.top_k(df.where("vec_id = 40")).count() == 0
 
 
+def test_large_components(spark):
+    """Exact wherever a score fits 64 bits; beyond, scores stop at its ends."""
+    big = [2.0**21, 2.0**30 + 0.25, 3e7, -(2.0**40), 2.0**56, 1e30]
+    rows = [(i, [0.5 * (i % 7), -0.25, 1.0]) for i in range(40)] + [(41 + i, [b, -b, 0.5 * i]) for i, b in enumerate(big)] + [(60, [2.0**22, 1.0, 0.0]), (80, [1.0, 1.0, 1.0]), (80, [1.0, 1.0, 2.0**30]), (81, [2.0**23, 0.5]), (100, [1e30, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    MOST = (1 << 63) - 1
+    stop = lambda s: max(-MOST, min(MOST, s))
+    want = []
+    for q in {r[0] for r in brute(rows)}:
+        every = sorted(((-stop(s), i) for p, _, i, s in brute(rows, 100) if p == q))[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(every)]
+    assert as_rows(topk.top_k(df)) == sorted(want)
+    assert any(abs(s) == MOST for *_, s in want) and any(1 << 26 < abs(s) < MOST for *_, s in want)
+
+
 def test_early_stop_keeps_ties():
     """Skewed lists stop early; large and tied values stay exact."""
     rng = np.random.default_rng(0)
