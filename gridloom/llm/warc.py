@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh_path, ship, written
+from gridloom.llm.common import BATCH_BYTES, fresh_path, ship, written
 
 #: Payloads shorter than this are never revisits.
 MIN_PAYLOAD = 100
@@ -88,17 +88,19 @@ class _Member:
         out, self.ready = self.ready[:most], self.ready[most:]
         return out
 
-    def until(self, mark: bytes, bound: int = 1 << 20) -> bytes:
-        """The bytes up to and with mark."""
-        got = b""
-        while mark not in got:
+    def until(self, mark: bytes) -> bytes:
+        """The bytes up to and with mark, however many: a url has no bound."""
+        got, at = bytearray(), -1
+        while at < 0:
             piece = self.some()
-            if not piece or len(got) > bound:
+            if not piece:
                 raise WarcError("a header doesn't end")
+            old = len(got)
             got += piece
-        end = got.index(mark) + len(mark)
-        self.ready = got[end:] + self.ready
-        return got[:end]
+            at = got.find(mark, max(0, old - len(mark) + 1))
+        end = at + len(mark)
+        self.ready = bytes(got[end:]) + self.ready
+        return bytes(got[:end])
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -116,7 +118,7 @@ def _number(fields: dict[str, str]) -> int:
 
 
 def read_records(source, keep: bool = False) -> Iterator[Record]:
-    """The records of an archive, from a binary stream, one after the other in bounded memory.
+    """The records of an archive, from a binary stream, one after the other; of a record its headers are held, and a piece.
 
     Lengths and digests are verified as the bytes pass; a payload is kept only if asked for.
     """
@@ -204,14 +206,15 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 where, path = _place(uri)
-                rows = []
+                rows, size = [], 0
                 with where.open_input_stream(path) as source:
                     for r in read_records(source):
                         number = lambda k, h=r.headers: int(h[k]) if k in h else None
                         rows.append((number("page-id"), r.payload_bytes, r.payload_digest, r.headers["warc-type"], number("refers-to-page-id"), r.headers.get("warc-target-uri")))
-                        if len(rows) == 4096:
+                        size += len(rows[-1][-1] or "")
+                        if len(rows) == 4096 or size > BATCH_BYTES:
                             yield pack(rows)
-                            rows = []
+                            rows, size = [], 0
                 yield pack(rows)
 
     ship(manifest.sparkSession)

@@ -100,6 +100,17 @@ def test_records_round_trip():
     assert list(warc.read_records(io.BytesIO(b""))) == []
 
 
+def test_long_urls(spark):
+    rng = random.Random(2)
+    for url in ("http://h/" + "x" * 3_000_000, "http://h/" + "".join(rng.choices("abcdefgh0123", k=3_000_000)), "http://h/" + "é" * 1_500_000):
+        data = warc.record(1, url, b"p" * 200) + warc.record(2, "u", b"q")
+        got = list(warc.read_records(io.BytesIO(data), keep=True))
+        assert got[0].headers["warc-target-uri"] == url and [r.payload for r in got] == [b"p" * 200, b"q"]
+    df = spark.createDataFrame([(i, "http://h/" + "x" * (2_000_000 if i < 4 else 5), f"<p>{i}</p>") for i in range(8)], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(df)).collect()
+    assert sorted((r.page_id, len(r.url)) for r in got) == [(i, 2_000_009 if i < 4 else 14) for i in range(8)]
+
+
 def test_broken_archives():
     import gzip
 
