@@ -10,16 +10,13 @@ from gridloom.llm import topk, warc
 
 
 def brute(rows, k=20, every=20):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(64 * float(x)) for x in v]
-        best[i] = min(best.get(i, v), v)
+    """Each row against all others, by row: repeated ids are rows of their own."""
+    known = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in best if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(best[q], v)), i) for i, v in best.items() if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    for n, (q, w) in enumerate(known):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for m, (i, v) in enumerate(known) if m != n)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -33,6 +30,7 @@ def test_top_k(spark, monkeypatch):
     assert as_rows(topk.top_k(df)) == brute(rows)
     monkeypatch.setattr(topk, "CANDIDATES", 64)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "LEAST", 16)
     assert as_rows(topk.top_k(df)) == brute(rows)
 
 
@@ -42,19 +40,23 @@ def test_odd_vectors(spark):
     assert as_rows(topk.top_k(df)) == brute(rows)
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id = 40")).count() == 0
+    again = rows[:4] * 30 + [(20, [0.5, 0.25])] * 25 + [(40, [0.5, 0.25 + i]) for i in range(3)]
+    assert as_rows(topk.top_k(spark.createDataFrame(again, "vec_id long, embedding array<double>"))) == brute(again)
 
 
 def test_large_components(spark):
     """Exact wherever a score fits 64 bits; beyond, scores stop at its ends."""
-    big = [2.0**21, 2.0**30 + 0.25, 3e7, -(2.0**40), 2.0**56, 1e30]
+    big = [1.5e6, 2e6, 2.0**21, 2.0**30 + 0.25, 3e7, -(2.0**40), 2.0**56, 1e30]
     rows = [(i, [0.5 * (i % 7), -0.25, 1.0]) for i in range(40)] + [(41 + i, [b, -b, 0.5 * i]) for i, b in enumerate(big)] + [(60, [2.0**22, 1.0, 0.0]), (80, [1.0, 1.0, 1.0]), (80, [1.0, 1.0, 2.0**30]), (81, [2.0**23, 0.5]), (100, [1e30, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     MOST = (1 << 63) - 1
     stop = lambda s: max(-MOST, min(MOST, s))
     want = []
-    for q in {r[0] for r in brute(rows)}:
-        every = sorted(((-stop(s), i) for p, _, i, s in brute(rows, 100) if p == q))[:20]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(every)]
+    for n, (q, w) in enumerate(rows):
+        if q % 20 == 0:
+            whole = [math.floor(64 * x) for x in w]
+            every = sorted((-stop(sum(a * math.floor(64 * b) for a, b in zip(whole, v))), i) for m, (i, v) in enumerate(rows) if m != n)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(every)]
     assert as_rows(topk.top_k(df)) == sorted(want)
     assert any(abs(s) == MOST for *_, s in want) and any(1 << 26 < abs(s) < MOST for *_, s in want)
 
@@ -68,24 +70,33 @@ def test_early_stop_keeps_ties():
         queries = rows[:25] * np.array([1, -1, 0])
         got = topk.Lists(ids, rows, 20).search(ids[:25], queries, 20)
         for i in range(25):
-            score = rows @ queries[i]
-            want = sorted((-s, d) for s, d in zip(score.tolist(), ids.tolist()) if d != ids[i])[:20]
+            score, itself = rows @ queries[i], (ids == ids[i]) & (rows == queries[i]).all(axis=1)
+            want = sorted((-s, d) for s, d, o in zip(score.tolist(), ids.tolist(), itself) if not o)[:20]
             assert [(-s, d) for n, d, s in got if n == i] == want
 
 
-def test_blocks_of_64_dimensions_enter_the_lists(monkeypatch):
-    """All queries begin by sorted access; those of skewed blocks stop there, the others scan."""
+def test_blocks_of_64_dimensions_go_down_the_lists(spark, monkeypatch):
+    """All queries begin by sorted access; on skewed rows, or with a floor from elsewhere, the bound stops them there."""
     rng = np.random.default_rng(1)
     met, best = [], topk.Lists.best
-    monkeypatch.setattr(topk.Lists, "best", lambda self, own, rows, *a: met.append(len(rows)) or best(self, own, rows, *a))
-    for rows, stops in ((rng.integers(-40, 40, (7000, 64)), False), (np.floor(np.exp(3 * rng.standard_normal((7000, 1)))) * rng.integers(50, 60, (7000, 64)), True)):
-        rows, ids = rows.astype(np.int64), rng.permutation(7000)
+    monkeypatch.setattr(topk.Lists, "best", lambda self, q, own, rows, *a: met.append(len(rows)) or best(self, q, own, rows, *a))
+    real = np.floor(64 * np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(7000).collect()]))
+    alike, skewed = rng.integers(-40, 40, (7000, 64)), np.ceil(np.exp(2 * rng.standard_normal((20_000, 1)))) * rng.integers(50, 60, (20_000, 64))
+    for rows, stops in ((alike, False), (skewed, True), (real, False)):
+        rows, ids = rows.astype(np.int64), rng.permutation(len(rows))
+        lists = topk.Lists(ids, rows, 20)
         met.clear()
-        got = topk.Lists(ids, rows, 20).search(ids[:30], rows[:30], 20)
-        assert sum(n < 4000 for n in met) >= 30 and any(n > 4000 for n in met) != stops
+        got = lists.search(ids[:30], rows[:30], 20)
+        assert sum(n < len(rows) / 2 for n in met) >= 30 and any(n >= len(lists.rows) for n in met) != stops
         for i in range(30):
             want = sorted((-s, d) for s, d in zip((rows @ rows[i]).tolist(), ids.tolist()) if d != ids[i])[:20]
             assert [(-s, d) for n, d, s in got if n == i] == want
+        met.clear()
+        floors = np.array([max(s for n, _, s in got if n == i) for i in range(30)])
+        assert [g for g in got if g[2] >= floors[g[0]]] == lists.search(ids[:30], rows[:30], 20, floors)
+        over = np.abs(rows[:30]).sum(axis=1) * np.abs(rows).max() + 1
+        met.clear()
+        assert lists.search(ids[:30], rows[:30], 20, over) == [] and not met
 
 
 def test_records_round_trip():
