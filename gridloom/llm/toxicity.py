@@ -20,6 +20,12 @@ LENGTH, STRIDE, UNITS, WIDTH, BUCKETS = 32, 16, 8, 8, 1 << 14  # buckets: 14 bit
 #: The classifier is fitted on at most so many labelled documents of each label, none longer than SAMPLE_CHARS.
 SAMPLE, SAMPLE_CHARS = 1500, 30_000
 THRESHOLD = 0.7
+#: Epochs, and below how many toxic texts the sample is parted in so many folds.
+EPOCHS, FEW, FOLDS = 14, 200, 3
+#: Adam's rate, and its factor from epoch to epoch.
+RATE, FALL = 0.01, 0.9
+#: Deviations from chance that a word's leaning must exceed to count.
+SURE = 2.5
 EDGE, INNER = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[^\W_]")
 #: A word of over PIECE characters is read in pieces of so many, each with the last LAP characters of the one before.
 PIECE, LAP = 64, 5
@@ -181,12 +187,26 @@ def text_features(logits: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
     return np.stack([top[0], top.mean(0), np.log(n), np.ones(texts)], axis=1)
 
 
-def train(texts: list[str], labels: list[int], positives: float, seed: int = 4, epochs: int = 14, batch: int = 128) -> Model:
+def leaning(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """How far each word leans to toxic texts, -2 to 2: the deviations beyond SURE by which the toxic texts that
+    it stands in exceed what chance gives. One text is added to the variance, so that rare words lean little."""
+    share = n_toxic / max(1, n_toxic + n_other)
+    expected = (toxic + other) * share
+    deviations = (toxic - expected) / np.sqrt(expected * (1 - share) + 1)
+    return np.clip(np.sign(deviations) * np.maximum(np.abs(deviations) - SURE, 0) / SURE, -2, 2)
+
+
+def train(texts: list[str], labels: list[int], positives: float, seed: int = 4, epochs: int = EPOCHS, batch: int = 128, few: int = FEW, folds: int = FOLDS) -> Model:
     """Fit on whole texts. positives: the share of toxic documents among all labelled ones.
 
     Only a few windows of a toxic text are toxic: each epoch trains on every text's highest windows as
-    the model has them by then (after a first epoch on windows at large). A third of the sample is held
-    back from this to fit the last step, from a text's highest window logits to its score.
+    the model has them by then (after a first epoch on windows at large). A word's first number begins as
+    its leaning, so that the first highest windows are not chance.
+
+    The last step goes from a text's highest window logits to its score, and is fitted on texts held back
+    from the network: a third of the sample, and of its toxic texts. With fewer than `few` toxic texts, too few
+    to do without, each of `folds` parts is held back in turn, the epoch is taken after which the texts held
+    back are told apart best, and the network is then fitted on all texts up to that epoch.
     """
     rng = np.random.default_rng(seed)
     labels = np.array(labels, np.float32)
@@ -194,23 +214,70 @@ def train(texts: list[str], labels: list[int], positives: float, seed: int = 4,
     rows = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)], np.int32) for t in texts]
     distinct = list(number)
     plain = plain_words(distinct)
-    seen = Counter(w for r in rows for w in {plain[i - 1] for i in set(r.tolist())})
+    stands_in = [{plain[i - 1] for i in set(r.tolist())} for r in rows]
+    seen = Counter(chain.from_iterable(stands_in))
     vocab = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:20_000]) if c >= 3}
-    init = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-    p = {"Ew": init(len(vocab) + 1, WIDTH, scale=0.1), "Ec": init(BUCKETS, WIDTH, scale=0.1), "va": init(2 * UNITS, scale=0.3), "wo": init(2 * UNITS, scale=0.3), "bo": np.zeros(1, np.float32)}
-    for d in "fb":
-        p |= {"W" + d: init(2 * WIDTH, 3 * UNITS, scale=0.3), "U" + d: init(UNITS, 3 * UNITS, scale=0.3), "b" + d: np.zeros(3 * UNITS, np.float32)}
-    model = Model(vocab, p)
     if not texts or labels.min() == labels.max():
+        model = Model(vocab, _initial(vocab, rng))
         model.final = np.array([0, 0, 0, np.log((positives + 1e-3) / (1 - positives + 1e-3))])
         return model
-    feats = model.inputs(distinct or [""])
+    feats = Model(vocab, {}).inputs(distinct or [""])
     ids, of = windows(np.concatenate(rows), np.array([len(r) for r in rows]))
-    del number, distinct, plain, rows
-    fit = rng.random(len(texts)) < 0.67
+    known = [np.array(sorted(vocab[w] for w in ws if w in vocab), np.int32) for ws in stands_in]
+    del number, distinct, plain, rows, stands_in, seen
+    fold = np.empty(len(texts), int)
+    for own in (np.flatnonzero(labels > 0), np.flatnonzero(labels <= 0)):
+        fold[rng.permutation(own)] = np.arange(len(own)) % folds
+
+    def network(fit, epochs, after):
+        """A network fitted on the texts of fit; after(epoch, logits of the other texts' windows) is called each epoch asked for."""
+        model = Model(vocab, _initial(vocab, rng))
+        count = lambda own: np.bincount(np.concatenate([known[i] for i in np.flatnonzero(own)] or [np.zeros(0, int)]), minlength=len(vocab) + 1)[1:]
+        model.p["Ew"][1:, 0] = leaning(count(fit & (labels > 0)), count(fit & (labels <= 0)), int((fit & (labels > 0)).sum()), int((fit & (labels <= 0)).sum()))
+        _descend(model, ids, of, labels, fit, feats, rng, epochs, batch, lambda epoch, table: after(epoch, window_logits(model.p, table(), ids[~fit[of]])) if after else None)
+        return model
+
+    def features(held, logits):
+        place = np.cumsum(held) - 1
+        return text_features(logits, place[of[held[of]]], int(held.sum())).astype(float)
+
+    def last_step(x, y):
+        if y.min() == y.max():
+            return np.array([1.0, 0, 0, 0]), 0.0
+        weight = np.where(y > 0, positives / y.mean(), (1 - positives) / (1 - y.mean()))
+        b = _logistic(x, y, weight)
+        q = np.clip(_sigmoid(x @ b), 1e-6, 1 - 1e-6)
+        return b, -(weight * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum()
+
+    if (labels > 0).sum() >= few:
+        held, found = fold == 0, {}
+        model = network(~held, epochs, lambda epoch, logits: found.update(logits=logits) if epoch == epochs - 1 else None)
+        model.final = last_step(features(held, found["logits"]), labels[held])[0]
+        return model
+    x = np.zeros((epochs, len(texts), 4))
+    for f in range(folds):
+        held = fold == f
+        if held.any() and not held.all():
+            network(~held, epochs, lambda epoch, logits, held=held: x.__setitem__((epoch, held), features(held, logits)))
+    steps = [last_step(x[e], labels) for e in range(epochs)]
+    best = min(range(epochs), key=lambda e: steps[e][1])
+    model = network(np.ones(len(texts), bool), best + 1, None)
+    model.final = steps[best][0]
+    return model
+
+
+def _initial(vocab: dict[str, int], rng) -> dict[str, np.ndarray]:
+    init = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
+    p = {"Ew": init(len(vocab) + 1, WIDTH, scale=0.02), "Ec": init(BUCKETS, WIDTH, scale=0.02), "va": init(2 * UNITS, scale=0.3), "wo": init(2 * UNITS, scale=0.3), "bo": np.zeros(1, np.float32)}
+    for d in "fb":
+        p |= {"W" + d: init(2 * WIDTH, 3 * UNITS, scale=0.3), "U" + d: init(UNITS, 3 * UNITS, scale=0.3), "b" + d: np.zeros(3 * UNITS, np.float32)}
+    return p
+
+
+def _descend(model: Model, ids, of, labels, fit, feats, rng, epochs: int, batch: int, after) -> None:
+    """Adam over the windows of the texts of fit, at a rate that falls with each epoch."""
+    p, momentum, step = model.p, {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}, 0
     mine = np.flatnonzero(fit[of])
-    momentum = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-    step = 0
     counts = np.diff(np.append(feats[2], len(feats[1])))
     balance = np.where(labels > 0, 0.5 / max(labels[fit].mean(), 1e-3), 0.5 / max(1 - labels[fit].mean(), 1e-3)).astype(np.float32)
     table = lambda: np.concatenate([np.zeros((1, 6 * UNITS), np.float32), model.project(model.embed(*feats))])
@@ -222,26 +289,19 @@ def train(texts: list[str], labels: list[int], positives: float, seed: int = 4,
             order = mine[np.lexsort((-logits, of[mine]))]
             first = np.flatnonzero(np.diff(of[order], prepend=-1))
             nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            chosen = np.concatenate([order[nth < 2], rng.choice(order[(nth >= 2) & (labels[of[order]] == 0)], min(int(fit.sum()) // 2, int(((nth >= 2) & (labels[of[order]] == 0)).sum())), replace=False)])
-            chosen = rng.permutation(chosen)
+            more = order[(nth >= 2) & (labels[of[order]] == 0)]
+            chosen = rng.permutation(np.concatenate([order[nth < 2], rng.choice(more, min(int(fit.sum()) // 2, len(more)), replace=False)]))
         for i in range(0, len(chosen), batch):
             w = chosen[i : i + batch]
-            y, weight = labels[of[w]], balance[of[w]]
-            g = _gradients(model, ids[w], y, weight, feats, counts)
+            g = _gradients(model, ids[w], labels[of[w]], balance[of[w]], feats, counts)
             step += 1
-            rate = 0.01 * min(1, step / 20) * (0.1 if epoch >= epochs - 3 else 1)
+            rate = RATE * min(1, step / 20) * FALL**epoch
             for k, d in g.items():
                 m, v = momentum[k]
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
                 p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6) + (1e-5 * p[k] if p[k].ndim > 1 else 0)
-    rest = np.flatnonzero(~fit[of])
-    held = np.flatnonzero(~fit)
-    if len(held) and labels[held].min() != labels[held].max():
-        x = text_features(window_logits(p, table(), ids[rest]), np.searchsorted(held, of[rest]), len(held)).astype(float)
-        y = labels[held]
-        model.final = _logistic(x, y, np.where(y > 0, positives / y.mean(), (1 - positives) / (1 - y.mean())))
-    return model
+        after(epoch, table)
 
 
 def _gradients(model, ids, y, weight, feats, counts):
@@ -286,14 +346,26 @@ def _gradients(model, ids, y, weight, feats, counts):
     return g
 
 
-def _logistic(x, y, weight, ridge: float = 1e-2):
-    """Weighted logistic regression by Newton's method."""
-    b = np.zeros(x.shape[1])
+def _logistic(x, y, weight, ridge: float = 1.0):
+    """Weighted logistic regression by Newton's method with halved steps, drawn to a text's highest logit as it is."""
+    start = np.array([1.0, 0, 0, 0])
+    drawn, b = ridge * np.array([1.0, 1, 1, 0.01]), start.copy()
+
+    def loss(b):
+        z = x @ b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + (drawn * (b - start) ** 2).sum() / 2
+
+    now = loss(b)
     for _ in range(50):
         q = _sigmoid(x @ b)
-        grad = x.T @ (weight * (q - y)) + ridge * b
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(b))
-        b -= np.clip(np.linalg.solve(hess, grad), -5, 5)
+        grad = x.T @ (weight * (q - y)) + drawn * (b - start)
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(drawn)
+        move = np.linalg.solve(hess, grad)
+        while (then := loss(b - move)) > now and np.abs(move).max() > 1e-9:
+            move /= 2
+        if then >= now:
+            break
+        b, now = b - move, then
     return b
 
 

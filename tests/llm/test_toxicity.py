@@ -84,6 +84,63 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g[i]) < 2e-4, name
 
 
+def test_forward_pass_word_by_word():
+    """Window logits and a text's features against plain loops over words and units."""
+    from math import exp, log, tanh
+
+    rng = np.random.default_rng(2)
+    words = "you idiot the a of über x y z and so on".split()
+    model = T.train([], [], 0.5)
+    model.vocab = {"the": 1, "a": 2}
+    model.p = {k: v + rng.standard_normal(v.shape) * 0.2 for k, v in (model.p | {"Ew": rng.standard_normal((3, T.WIDTH))}).items()}
+    p, K, W = model.p, T.UNITS, T.WIDTH
+    text = [words[i] for i in rng.integers(0, len(words), 3 * T.LENGTH + 5)]
+
+    def embedded(w):
+        grams = []
+        marked = f"^{w}$"
+        for n in (3, 4, 5, 6):
+            for i in range(len(marked) + 1 - n + 1):
+                h = 0
+                for c in (marked + "$")[i : i + n]:
+                    h = (h * 0x9E3779B1 + ord(c)) % 2**64
+                grams.append((h * 0x9E3779B97F4A7C15 % 2**64) >> 50)
+        return list(p["Ew"][model.vocab.get(w, 0)]) + [sum(p["Ec"][g][j] for g in grams) / len(grams) ** 0.5 for j in range(W)]
+
+    def states(xs, d):
+        h, out = [0.0] * K, []
+        for x in xs:
+            a = [sum(x[j] * p["W" + d][j][c] for j in range(2 * W)) + p["b" + d][c] for c in range(3 * K)]
+            u = [sum(h[j] * p["U" + d][j][c] for j in range(K)) for c in range(3 * K)]
+            z = [1 / (1 + exp(-a[c] - u[c])) for c in range(2 * K)]
+            n = [tanh(a[2 * K + c] + z[K + c] * u[2 * K + c]) for c in range(K)]
+            h = [n[c] + z[c] * (h[c] - n[c]) for c in range(K)]
+            out.append(h)
+        return out
+
+    def logit(ws):
+        xs = [embedded(w) for w in ws]
+        both = [f + b for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+        e = [exp(sum(v * x for v, x in zip(p["va"], h))) for h in both]
+        return sum(p["wo"][c] * sum(w * h[c] for w, h in zip(e, both)) / sum(e) for c in range(2 * K)) + p["bo"][0]
+
+    starts = sorted({*range(0, len(text) - T.LENGTH, T.STRIDE), len(text) - T.LENGTH})
+    wanted = sorted((logit(text[i : i + T.LENGTH]) for i in starts), reverse=True)
+    model.final = np.array([0.7, -0.4, 0.1, 0.2])
+    score = 1 / (1 + exp(-(model.final @ [wanted[0], sum(wanted[:3]) / 3, log(len(wanted)), 1])))
+    assert abs(T.Scorer(model).score([" ".join(text)])[0] - score) < 2e-5
+    assert abs(T.Scorer(model).score(["so on"])[0] - 1 / (1 + exp(-(0.3 * logit(["so", "on"]) + 0.2)))) < 2e-5
+
+
+def test_few_labels(spark):
+    """With some thirty toxic texts to learn from, held-out ones are still told apart."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in T.score_documents(documents(spark, SF), labels).collect()}
+    test = [(r.toxic, got[r.doc_id].score) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out]
+    pairs = [(a > b) + (a == b) / 2 for t, a in test if t for u, b in test if not u]
+    assert sum(pairs) / len(pairs) > 0.78
+
+
 def test_scores(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = documents(spark, "/root/testdata/sf0.1")
