@@ -37,6 +37,8 @@ class Dictionary:
     n_patterns: int
     occupied_blocks: int
     empty_code: int | None
+    #: What is persisted, to be let go of.
+    kept: DataFrame | None = None
 
     @property
     def max_index(self) -> int:
@@ -73,7 +75,7 @@ def build(blocks: DataFrame, n_blocks: int, per_range: int = RANGE_ROWS) -> Dict
         patterns += 1
     codes = ranked(codes, "first_block", "code", patterns, per_range).select(F.col("code").cast("long").alias("code"), "bits", "first_block", "uses")
     empty = None if empty_first is None else codes.where(F.size("bits") == 0).first().code
-    return Dictionary(codes, n_blocks, patterns, occupied, empty)
+    return Dictionary(codes, n_blocks, patterns, occupied, empty, found)
 
 
 def encode(blocks: DataFrame, dictionary: Dictionary) -> DataFrame:

@@ -57,7 +57,8 @@ class Compression:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return blocks.patterns(self.bits)
+        """(block_id, bits); kept, as the dictionary and the codes read it."""
+        return blocks.patterns(self.bits).persist()
 
     @property
     def n_blocks(self) -> int:
@@ -143,9 +144,10 @@ class Compression:
 
     def release(self) -> None:
         """Let go of what is kept; asked again, relations are made anew."""
-        for name in ("voxels", "dictionary"):
+        for name in ("voxels", "blocks", "dictionary"):
             kept = self.__dict__.get(name)
+            kept = kept.kept if name == "dictionary" and kept is not None else kept
             if kept is not None:
-                (kept.codes if name == "dictionary" else kept).unpersist()
+                kept.unpersist()
         for name in [k for k in self.__dict__ if k not in ("points", "settings")]:
             del self.__dict__[name]

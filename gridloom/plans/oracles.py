@@ -98,7 +98,7 @@ SELECT total AS raw_grid_bytes, occupied AS occupied_voxels, CAST(occupied AS DO
         "best_block_size": sweep + "SELECT block_size, n_blocks, n_patterns, index_bits, compressed_bytes, ratio FROM res ORDER BY ratio, block_size LIMIT 1",
         "voxel_size_sweep": sizes + "SELECT voxel_size, total_voxels, occupied, score FROM res",
         "best_voxel_size": sizes + "SELECT voxel_size, total_voxels, occupied, score FROM res WHERE score > 0 ORDER BY score DESC, voxel_size LIMIT 1",
-        "marker_batches": b + f", r AS (SELECT voxel_id, row_number() OVER (ORDER BY voxel_id) - 1 AS rank FROM vox) SELECT rank // {MARKER_POINTS} AS batch, count(*) AS n, min(voxel_id) AS first_voxel, max(voxel_id) AS last_voxel FROM r GROUP BY 1",
+        "marker_batches": b + f", r AS (SELECT *, row_number() OVER (ORDER BY voxel_id) - 1 AS rank FROM vox) SELECT rank // {MARKER_POINTS} AS batch, count(*) OVER (PARTITION BY rank // {MARKER_POINTS}) AS n, voxel_id, " + _axes(f"l@ + ((CAST(v@ AS FLOAT) + {f(0.5)}) * side) AS @") + " FROM r, g",
         "dictionary_message": b + f"SELECT 'map' AS frame_id, CAST(side AS DOUBLE) AS voxel_size, CAST({s} AS BIGINT) AS block_size, CAST(1 AS BIGINT) AS min_points_threshold, " + ", ".join(f"CAST(g.g{a} * side AS DOUBLE) AS dim_{a}, CAST(l{a} AS DOUBLE) AS origin_{a}" for a in "xyz") + f", n_blocks AS total_blocks, CAST(nx AS BIGINT) AS blocks_x, CAST(ny AS BIGINT) AS blocks_y, CAST(nz AS BIGINT) AS blocks_z, CAST(index_bits AS BIGINT) AS index_bit_size, n_patterns AS num_patterns, CAST({bytes_} AS BIGINT) AS pattern_size_bytes, CAST(0 AS BIGINT) AS checksum, n_points AS original_point_count, compressed_bytes AS compressed_data_size, compression_ratio FROM sz, g",
         "flat_dictionary": b + f"SELECT code // {CHUNK} AS chunk, string_agg(pattern, '' ORDER BY code) AS data FROM hexed GROUP BY 1",
         "raw_grid": b + "SELECT voxel_id, vx, vy, vz, CAST(255 AS SMALLINT) AS value FROM vox",
@@ -107,7 +107,7 @@ cells AS (SELECT row_id, x, row_id * gx + x AS voxel_id FROM rows, g, (SELECT un
 SELECT row_id, string_agg(CASE WHEN vox.voxel_id IS NULL THEN '00' ELSE '01' END, '' ORDER BY x) AS mask FROM cells LEFT JOIN vox USING (voxel_id) GROUP BY 1""",
         "point_lookup": b + ", asked AS (SELECT unnest(range(-2, 40)) AS i) SELECT CAST(i AS INTEGER) AS vx, CAST(i // 2 AS INTEGER) AS vy, CAST(i % 5 AS INTEGER) AS vz, EXISTS (SELECT 1 FROM vox WHERE vox.vx = i AND vox.vy = i // 2 AND vox.vz = i % 5) AS occupied FROM asked",
         "encoding_saving": b + "SELECT CASE WHEN n_patterns - 1 < 256 THEN n_blocks ELSE 0 END AS saved_bytes FROM tot",
-        "bitgrid_words": b + "SELECT voxel_id // 64 AS word_id, count(*) AS bits FROM vox GROUP BY 1",
+        "bitgrid_words": b + "SELECT voxel_id // 64 AS word_id, CAST(sum(CASE WHEN voxel_id % 64 = 63 THEN -9223372036854775807::HUGEINT - 1 ELSE 1::HUGEINT << CAST(voxel_id % 64 AS INTEGER) END) AS BIGINT) AS word FROM vox GROUP BY 1",
         "bitgrid_popcount": b + "SELECT count(*) AS occupied FROM vox",
         "finite_filter": b + "SELECT x, y, z, count(*) AS n FROM pts GROUP BY 1, 2, 3",
         "sweep_json": b + f""", cover AS (SELECT *, greatest(CAST(nx AS BIGINT) * {s}, gx) * greatest(CAST(ny AS BIGINT) * {s}, gy) * greatest(CAST(nz AS BIGINT) * {s}, gz) AS total FROM sz)
@@ -119,7 +119,11 @@ SWEEP_BLOCKS = (2, 9, 1)
 
 
 def _block_sweep(c: Source) -> str:
-    least, most, step = SWEEP_BLOCKS
+    return block_sweep(c, *SWEEP_BLOCKS)
+
+
+def block_sweep(c: Source, least: int, most: int, step: int = 1) -> str:
+    """CTEs up to res: a row a block size."""
     return base(c) + f""", s AS (SELECT CAST(unnest(range({least}, {most} + 1, {step})) AS INTEGER) AS block_size),
 sn AS (SELECT block_size, (gx + block_size - 1) // block_size AS mx, (gy + block_size - 1) // block_size AS my, (gz + block_size - 1) // block_size AS mz FROM s, g),
 sb AS (SELECT block_size, CAST(vz // block_size AS BIGINT) * mx * my + (vy // block_size) * mx + vx // block_size AS block_id,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import metrics, packing
 from gridloom.operators import blocks, sweep, voxel
-from gridloom.plans import oracles
+from gridloom.plans import filequeries, oracles
 from gridloom.plans.clouds import CLOUDS, Source
 from gridloom.plans.compress import Compression
 
@@ -61,8 +61,7 @@ def _f32_row(c: Compression, name: str, value: float):
 
 
 def _markers(c: Compression):
-    ends = lambda f: F.aggregate("points", F.lit(None).cast("long"), lambda a, p: f(a, p["voxel_id"]))
-    return c.markers().select("batch", F.col("n").cast("long").alias("n"), ends(F.least).alias("first_voxel"), ends(F.greatest).alias("last_voxel"))
+    return c.markers().select("batch", F.col("n").cast("long").alias("n"), F.explode("points").alias("p")).select("batch", "n", "p.*")
 
 
 QUERIES = {
@@ -104,14 +103,14 @@ QUERIES = {
     "occupancy_mask": lambda c: _hexed(packing.occupancy_rows(c.voxels, *c.grid.dims), "mask"),
     "point_lookup": _lookup,
     "encoding_saving": lambda c: metrics.as_row(c.spark, {"n": c.n_blocks, "top": c.dictionary.max_index}).select(packing.encoding_saving(F.col("n"), F.col("top")).alias("saved_bytes")),
-    "bitgrid_words": lambda c: packing.words(c.voxels).select("word_id", F.bit_count("word").cast("long").alias("bits")),
+    "bitgrid_words": lambda c: packing.words(c.voxels),
     "bitgrid_popcount": lambda c: packing.popcount(packing.words(c.voxels)),
     "finite_filter": lambda c: voxel.finite(c.points).groupBy("x", "y", "z").agg(F.count("*").alias("n")),
     "sweep_json": lambda c: c.spark.range(1).select(F.lit(metrics.sweep_json(c.settings.block_size, c.metrics())).alias("summary")),
 }
 
-#: Queries whose oracle is too large for a cloud of many blocks or layers.
-SKIPPED = {("lineitem_fine", "occupancy_mask")}
+#: The cloud whose queries also go through files.
+FILES = "embeddings"
 
 
 def _run(source: Source, query, spark, sf_dir):
@@ -119,15 +118,17 @@ def _run(source: Source, query, spark, sf_dir):
 
 
 def _names():
-    return [(cloud, name) for cloud in CLOUDS for name in QUERIES if (cloud, name) not in SKIPPED]
+    return [(cloud, name) for cloud in CLOUDS for name in QUERIES]
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
-    return {f"{name}_{cloud}": partial(_run, CLOUDS[cloud], QUERIES[name]) for cloud, name in _names()}
+    found = {f"{name}_{cloud}": partial(_run, CLOUDS[cloud], QUERIES[name]) for cloud, name in _names()}
+    return found | {f"{name}_{FILES}": partial(filequeries.run, CLOUDS[FILES], query) for name, query in filequeries.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL over the same tables."""
     by = {cloud: oracles.oracles(source) for cloud, source in CLOUDS.items()}
-    return {f"{name}_{cloud}": by[cloud][name] for cloud, name in _names()}
+    found = {f"{name}_{cloud}": by[cloud][name] for cloud, name in _names()}
+    return found | {f"{name}_{FILES}": sql for name, sql in filequeries.oracle_sql(CLOUDS[FILES]).items()}

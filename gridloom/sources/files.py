@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyarrow import fs
 
 
@@ -43,3 +48,16 @@ def write_bytes(uri: str, data: bytes) -> None:
     where, path = place(uri)
     with where.open_output_stream(path) as f:
         f.write(data)
+
+
+def scratch(spark) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or the warehouse. A local session
+    without the setting takes a temporary folder, gone when its process ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/gridloom/files-{uuid.uuid4().hex}"
+    where, target = place(path)
+    where.create_dir(target, recursive=True)
+    return path
