@@ -57,7 +57,7 @@ def shingles(texts: list[str], words: int):
     length = np.minimum(n, words)[of]
     total, padded = length.astype(np.uint64), np.append(h, np.zeros(words, np.uint64))
     for k in range(words):
-        total = total + np.where(k < length, _mix(padded[start + k] + np.uint64(k + 1) * _GOLD), np.uint64(0))
+        total = total + np.where(k < length, _mix(padded[start + k] + np.uint64((k + 1) * int(_GOLD) % 2**64)), np.uint64(0))
     total = _mix(total)
     order = np.lexsort((total, of))
     total, of = total[order], of[order]

@@ -9,9 +9,43 @@ from gridloom.llm.common import documents
 SF = "/root/testdata/sf0.001"
 
 
+def mix(x):
+    """The finaliser of splitmix64, in whole numbers."""
+    x %= 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def slow_marks(text):
+    """Level -> all distinct 32-bit marks of its phrases, for the levels that a fingerprint writes, highest first."""
+    levels, names = [], list(map(ord, text))
+    for _ in range(L.LEVELS):
+        names = slow_parse(names)
+        levels.append(sorted({n >> 32 for n in names}))
+    out = {}
+    for k in range(L.LEVELS, 0, -1):
+        if not text or out and len(out[k + 1]) >= 4 * L.RICH:
+            break
+        out[k] = levels[k - 1]
+    return out
+
+
+def slow_likeness(a, b):
+    """From full sets of marks: the smallest KEPT of both together that are in both."""
+    if a == b or not a or not b:
+        return float(a == b)
+    both = sorted(a.keys() & b.keys(), reverse=True)
+    k = next((k for k in both if len(a[k]) >= L.RICH and len(b[k]) >= L.RICH), both[-1])
+    x, y = set(a[k]), set(b[k])
+    lowest = sorted(x | y)
+    if max(len(x), len(y)) > L.KEPT:
+        lowest = lowest[: L.KEPT]
+    return sum(h in x and h in y for h in lowest) / len(lowest)
+
+
 def slow_parse(names):
     """One level of one text, symbol by symbol."""
-    mix = lambda x: int(L._mix(np.array([x % 2**64], np.uint64))[0])
     gold, runs, i = int(L._GOLD), [], 0
     while i < len(names):
         j = i
@@ -66,6 +100,15 @@ def test_documents(spark):
         assert [r.fingerprint, r.edited_fingerprint] == L.fingerprints([t]) + L.fingerprints([e])
         assert r.near_edited == L.likeness(r.fingerprint, r.edited_fingerprint)
         assert r.near_next == L.likeness(r.fingerprint, got[following].fingerprint)
+    marks = {i: slow_marks(t) for i, t in rows.items() if len(t) < 1500}
+    pairs = [(i, j) for i, j in zip(order, order[1:] + order[:1]) if i in marks and j in marks]
+    assert len(pairs) > 40
+    for i, j in pairs:
+        text = "".join(f"{k}:{len(m)}:{''.join(f'{h:08x}' for h in m[: L.KEPT])};" for k, m in marks[i].items())
+        assert got[i].fingerprint == text and abs(got[i].near_next - slow_likeness(marks[i], marks[j])) < 1e-12
+        m = len(rows[i]) // 3
+        e = slow_marks(rows[i][: len(rows[i]) - m] + rows[j][:m])
+        assert abs(got[i].near_edited - slow_likeness(marks[i], e)) < 1e-12
     long = [r for r in got.values() if r.n_chars > 1000]
     assert np.mean([r.near_edited for r in long]) > 0.4 and np.mean([r.near_next for r in long]) < 0.1
 

@@ -1,7 +1,11 @@
+import math
 import re
+import struct
 import zlib
 from collections import defaultdict
 
+import xxhash
+
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, sharding
@@ -105,6 +109,35 @@ def test_shards(spark):
     assert sharding.shard_documents(odd(spark).limit(0)).count() == 0
 
 
+def slow_shard(doc_id, tree):
+    """A row's shard, draw by draw: Spark's xxhash64 is that of each value's bytes, seeded by the one before."""
+
+    def draw(path, weight):
+        h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+        for p in (len(path), *path):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", p), h)
+        return math.log(((h >> 11) + 0.5) / 2.0**53) / weight
+
+    def weight(path):
+        return sum(w for *p, w in tree.shards if tuple(p[: len(path)]) == path)
+
+    path = ()
+    while len(path) < 3:
+        below = sorted({tuple(p[: len(path) + 1]) for *p, _ in tree.shards if tuple(p[: len(path)]) == path})
+        path = max(below, key=lambda p: draw(p, weight(p)))
+    return path[2]
+
+
+def test_shards_draw_by_draw(spark):
+    docs = documents(spark, SF)
+    rows = sharding.shard_documents(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))).collect()
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (slow_shard(r.doc_id, sharding.even_tree(16)), slow_shard(r.doc_id, sharding.even_tree(17)))
+    tree = sharding.Tree(((0, 0, 5, 3.0), (0, 0, 6, 0.5), (0, 1, 7, 1.0), (2, 0, 8, 2.0)))
+    got = docs.select("doc_id", sharding.shard_of(F.col("doc_id"), tree).alias("shard")).collect()
+    assert all(r.shard == slow_shard(r.doc_id, tree) for r in got)
+
+
 def test_tree_confines_movement(spark):
     keys, base = spark.range(4000).withColumnRenamed("id", "k"), sharding.even_tree(16)
     heavy = sharding.Tree(tuple((r, k, s, 3.0 if s == 5 else w) for r, k, s, w in base.shards))
