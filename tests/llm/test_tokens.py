@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import pytest
 from tokenizers import Tokenizer
@@ -110,3 +111,24 @@ def test_borders_agree_with_plain_merging(pair):
     for t in "aeiou":
         for u in ("a", "e", "aa", "ee", "aa" + bpe.END, "i" + bpe.END):
             assert trie.apart(t, u) == (trie.merged(trie.symbols(t) + trie.symbols(u)) == [t, u]) if trie.follows(None, t) and u in trie.vocab and trie.follows(None, u) else True
+
+
+def test_counts_agree_with_the_tokenizers_library(spark):
+    """Whole-text counts against the library's own Unigram model of the same pieces and scores."""
+    from tokenizers import models
+
+    with open(unigram.VOCABULARY, "rb") as f:
+        scores = unigram.piece_scores(f.read())
+    vocab = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", min(scores.values()) - 10) for b in range(256)] + list(scores.items())
+    theirs = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
+    rows = documents(spark, SF).select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in unigram.count_tokens(documents(spark, SF)).collect()}
+    known, far = {}, 0
+    for r in rows:
+        words = re.findall(unigram.WORD, r.text or "")
+        for w in set(words) - known.keys():
+            known[w] = len(theirs.encode(unigram.SPACE + w, add_special_tokens=False).ids)
+        assert got[r.doc_id].n_words == len(words)
+        far += abs(got[r.doc_id].n_tokens - sum(known[w] for w in words))
+    total = sum(r.n_tokens for r in got.values())
+    assert far <= 1e-4 * total, (far, total)
