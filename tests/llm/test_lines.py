@@ -42,7 +42,7 @@ def held(docs, min_words):
 def test_suffix_array(spark, monkeypatch):
     """Order, longest common prefixes and earlier runs against naive ones, in ranges of a few rows and in one."""
     rng = random.Random(1)
-    for rows, n, symbols, long in ((1 << 30, 12, 2, 9), (6, 6, 2, 7), (4, 3, 1, 10)):
+    for rows, n, symbols, long in ((1 << 30, 12, 2, 9), (5, 4, 2, 6)):
         monkeypatch.setattr(S, "ROWS", rows)
         texts, at = [], 0
         for _ in range(n):

@@ -23,7 +23,7 @@ def test_stages_agree_with_brute_force(spark):
     was, now = by["toxicity"]
     assert 0.85 * len(was) < len(now) < len(was) and set(now) <= set(was)
     was, now = by["line_dedup"]
-    want = brute_lines([(r.doc_id, r.text) for r in was], 50)
+    want = brute_lines([(r.doc_id, r.text, 0) for r in was], 50)
     assert sorted((str(r.doc_id), r.text) for r in now) == [(d, t) for d, t in want if t or (d, t) in {(str(r.doc_id), r.text) for r in was}]
     was, now = by["near_dedup"]
     want = {d for d, _, c in brute_near([(r.doc_id, r.text) for r in was], corpus_pipeline.minhash.Rule(5, 80)) if d == c}
