@@ -118,19 +118,33 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sums_before(df: DataFrame, group: str, at: str, weight: str, out: str, top: int, fan: int = 4096) -> DataFrame:
+    """Add column `out`: the sum of weight over the rows of a lower `at` in the group; 0 <= at < top, each once a group.
+
+    Steps of `fan` places are summed up in a window each, and the steps' own sums by the same rule, so that
+    no window holds more than `fan` rows, however many a group has.
+    """
+    df = df.withColumn("_step", F.expr(f"`{at}` div {fan}"))
+    before = Window.partitionBy(group, "_step").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    if top > fan:
+        steps = df.groupBy(group, F.col("_step").alias("_at")).agg(F.sum(weight).alias("_total"))
+        steps = sums_before(steps, group, "_at", "_total", "_below", -(-top // fan), fan)
+        summed = summed.join(steps.select(group, F.col("_at").alias("_step"), F.col("_below").alias("_more")), [group, "_step"]).withColumn(out, F.col(out) + F.col("_more")).drop("_more")
+    return summed.drop("_step")
+
+
 def running_offsets(df: DataFrame, group: str, order: list[str], weight: Column, out: str, rows: int, rows_per_bucket: int = 2048) -> DataFrame:
     """Add column `out`: the sum of weight over the rows that precede each row within its group.
 
     The order is by a hash bucket of the `order` columns, then by those columns, so that no window
-    ever holds a whole group: rows are summed by (group, bucket), the small bucket table is summed up
-    by group, and only buckets of about rows_per_bucket rows are sorted. Rows that agree in all
+    ever holds a whole group: rows are summed by (group, bucket), the bucket table is summed up in
+    steps, and only buckets of about rows_per_bucket rows are sorted. Rows that agree in all
     `order` columns are interchangeable. rows: the number of rows, from which buckets are counted.
     """
     n = max(1, -(-rows // rows_per_bucket))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n))).withColumn("_weight", weight)
-    sums = df.groupBy(group, "_bucket").agg(F.sum("_weight").alias("_sum"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    sums = sums_before(df.groupBy(group, "_bucket").agg(F.sum("_weight").alias("_sum")), group, "_bucket", "_sum", "_base", n)
     inside = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-    return df.join(sums, [group, "_bucket"]).withColumn(out, F.col("_base") + F.col("_inside")).drop("_bucket", "_weight", "_base", "_inside")
+    return df.join(sums.drop("_sum"), [group, "_bucket"]).withColumn(out, F.col("_base") + F.col("_inside")).drop("_bucket", "_weight", "_base", "_inside")

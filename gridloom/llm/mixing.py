@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import running_offsets, word_count, written
+from gridloom.llm.common import drop, running_offsets, sums_before, word_count, written
 
 ROUNDS = 24
 
@@ -72,10 +72,10 @@ def _slots(src: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     spans = src.select("src", "lo", "hi", F.explode(F.sequence(F.least((F.col("lo") * bins).cast("long"), F.lit(bins - 1)), F.least((F.col("hi") * bins).cast("long"), F.lit(bins - 1)))).alias("bin"))
     draws = spark.range(total).select(F.expr(f"id div {shard_slots}").alias("shard"), _uniform(F.lit(seed), F.col("id")).alias("u"))
     draws = draws.withColumn("bin", (F.col("u") * bins).cast("long")).join(spans, "bin").where("u >= lo and u < hi")
-    counts = draws.groupBy("src", "shard").agg(F.count("*").alias("n"))
+    counts = written(draws.groupBy("src", "shard").agg(F.count("*").alias("n")), "mix-counts")
     # The draws' sums are brought to the slots each source needs, in proportion along the shards.
-    by = Window.partitionBy("src")
-    counts = counts.select("src", "shard", "n", F.sum("n").over(by.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)).alias("to"), F.sum("n").over(by).alias("drawn"))
+    drawn = counts.groupBy("src").agg(F.sum("n").alias("drawn"))
+    counts = sums_before(counts, "src", "shard", "n", "to", shards).withColumn("to", F.col("to") + F.col("n")).join(drawn, "src")
     some = src.join(counts, "src", "left").withColumns({"shard": F.coalesce("shard", F.pmod(F.xxhash64("src"), F.lit(shards))), "from": F.coalesce(F.expr("cast(cast(slots as decimal(19,0)) * cast(to - n as decimal(19,0)) div cast(drawn as decimal(19,0)) as long)"), F.lit(0)), "to": F.coalesce(F.expr("cast(cast(slots as decimal(19,0)) * cast(to as decimal(19,0)) div cast(drawn as decimal(19,0)) as long)"), F.col("slots"))})
     # A row here stands for a thousand slots: they are dealt out before each is permuted.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000))
@@ -108,6 +108,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
     laid = written(running_offsets(rows, "src", ["doc_id", "size"], F.col("size"), "start", base.count()), "mix-laid")
     pieces = laid.where("size > 0").select("doc_id", "src", "size", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     slots = _slots(src, block, shard_slots, seed)
+    drop(base, src)
     overlap = F.least(F.expr(f"block * {block}") + F.col("words"), F.col("start") + F.col("size")) - F.greatest(F.expr(f"block * {block}"), F.col("start"))
     taken = pieces.join(slots, ["src", "block"]).groupBy("src", "start").agg(F.sum(F.greatest(overlap, F.lit(0))).alias("taken"))
     # Within a source, only rows with words have a start of their own.

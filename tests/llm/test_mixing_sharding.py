@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, sharding
-from gridloom.llm.common import documents
+from gridloom.llm.common import documents, sums_before
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, slot string"
@@ -87,6 +87,13 @@ def test_mix_agrees_with_brute_force(spark):
         assert got[r.doc_id] == sum(per[r.source][w] for w in range(r.start, r.start + r["size"]))
 
 
+def test_sums_in_steps(spark):
+    rows = [(g, at, (7 * at + g) % 11) for g in range(3) for at in range(100) if (at + g) % 5]
+    for fan in (2, 3, 10, 4096):
+        got = sums_before(spark.createDataFrame(rows, "g int, at long, w long"), "g", "at", "w", "s", 100, fan).collect()
+        assert sorted((r.g, r.at, r.w, r.s) for r in got) == sorted((g, at, w, sum(v for h, a, v in rows if h == g and a < at)) for g, at, w in rows)
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 17, 100):
         df = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), [F.lit(9)]).alias("p"))
