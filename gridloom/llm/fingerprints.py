@@ -161,25 +161,24 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     comes the first. Null texts count as empty. An empty table gives no rows, a single document is its own
     next one, repeated rows follow one another, and other columns are ignored.
 
-    The texts are shuffled once, to ranges of doc_id cut at approximate quantiles; the row that follows a
-    range, the first of the next, is copied into it. The driver holds one number a range, for cuts and firsts.
+    The texts are shuffled once, to ranges of doc_id; the row that follows a range, the first of the next,
+    is copied into it. The ranges are found by sorting the ids alone; the driver holds the first of each.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(4, 2 * docs.rdd.getNumPartitions())
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")).first().cuts or []
-    cuts = -np.array(sorted(set(cuts), reverse=True), np.int64)
+    ids = docs.select("doc_id").repartitionByRange(parts, F.col("doc_id").desc_nulls_last())
+    firsts = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("id"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()
+    cuts = -np.array(sorted((r.id for r in firsts if r.id is not None), reverse=True), np.int64)
 
     def bucket(ids: pa.Array) -> np.ndarray:
-        """The number of cuts above each id; null ids come in a bucket of their own, the last."""
+        """The range of each id, from 0; null ids come in one of their own, the last."""
         known = np.asarray(ids.is_valid())
-        return np.where(known, np.searchsorted(cuts, -ids.fill_null(0).to_numpy(zero_copy_only=False)), len(cuts) + 1).astype(np.int32)
+        return np.where(known, np.searchsorted(cuts, -ids.fill_null(0).to_numpy(zero_copy_only=False), "right") - 1, len(cuts)).astype(np.int32)
 
-    def firsts(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(batch.column(0))), batch.column(0)], ["bucket", "doc_id"])
-
-    heads = {r.bucket: r.id for r in docs.select("doc_id").mapInArrow(firsts, "bucket int, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("id")).collect()}
+    heads = dict(enumerate((-cuts).tolist()))
+    if any(r.nulls for r in firsts):
+        heads[len(cuts)] = None
     there = sorted(heads)
     before = dict(zip(there, there[-1:] + there[:-1]))
 
@@ -195,5 +194,5 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([before[b] for b in at[head].tolist()], np.int32)), pa.array(np.ones(len(head), np.int32)), copies.column(0), copies.column(1)], ["bucket", "copy", "doc_id", "text"])
 
     rows = docs.mapInArrow(dealt, "bucket int, copy int, doc_id long, text string")
-    rows = rows.repartitionById(len(cuts) + 2, F.col("bucket")).sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    rows = rows.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     return rows.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
