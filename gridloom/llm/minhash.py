@@ -272,23 +272,24 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     others; a component of them alone has a null component_id, and there null is kept. Repeated rows are
     rows of one class. An empty table gives no rows; other columns are ignored.
     """
-    return _grouped(docs, rule).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _grouped(docs, rule)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _grouped(docs: DataFrame, rule: Rule, *more: str) -> DataFrame:
-    """doc_id, n, component_id and `more` of each row, and the number of its group; no group for a row like no other."""
+def _grouped(docs: DataFrame, rule: Rule, *more: str) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, n, component_id and `more` of each row, and the number of its group (none for a row like no other); and the tables read."""
     ship(docs.sparkSession)
     rows = written(signed(docs, rule.words, *more), "near-rows")
     grouped = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", *(f"s{k}" for k in range(CHUNKS)))])
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     links = _links(classes, docs, rule)
     roots = components(links).withColumnRenamed("node", "_node")
+    drop(links)
     reps = classes.select("node", "a", "b", "rep", "rows").join(roots, F.col("node") == F.col("_node"), "left")
     lowest = reps.where("root is not null").groupBy("root").agg(F.min("rep").alias("lowest"))
     reps = reps.where("rows > 1 or root is not null").join(lowest, "root", "left").select("a", "b", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("root", "node").alias("group"))
     out = rows.select("doc_id", "n", "a", "b", *more).join(reps, ["a", "b"], "left")
     group = F.when(F.col("n") > 0, F.col("group"))
-    return out.select("doc_id", "n", F.when(group.isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), group.alias("group"), *more)
+    return out.select("doc_id", "n", F.when(group.isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), group.alias("group"), *more), [rows, classes]
 
 
 def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -300,10 +301,13 @@ def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     key = ["_none", "_id", "_x", "_y"]
     named = lambda c: dict(zip(key, (F.col(f"{c}doc_id").isNull(), F.coalesce(F.col(f"{c}doc_id").cast("long"), F.lit(0)), F.xxhash64(f"{c}text"), F.xxhash64(F.lit(1), f"{c}text"))))
     marked = docs.select("doc_id", "text", *[named("")[c].alias(c) for c in key[2:]])
-    found = _grouped(marked, rule, *key[2:]).where("group is not null")
+    found, read = _grouped(marked, rule, *key[2:])
+    found = found.where("group is not null")
     found = written(found.groupBy("group", F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), *key[2:]).agg(F.count("*").alias("times")), "near-found")
+    drop(*read)
     first = written(found.groupBy("group").agg(F.min(F.struct(*key, "times")).alias("first")).select("first.*"), "near-first")
     gone = written(found.select(*key).join(first.select(*key).hint("merge"), key, "left_anti"), "near-gone")
+    drop(found)
     rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumns(named("_row."))
     rows = rows.join(gone.hint("merge"), key, "left_anti")
     again = first.where("times > 1").select(*key)
