@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, lines, minhash, mixing, toxicity
-from gridloom.llm.common import documents, written
+from gridloom.llm.common import documents, drop, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, kept = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(*kept)
+        kept = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
