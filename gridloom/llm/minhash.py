@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -145,65 +146,89 @@ def _forest(joined: np.ndarray):
                 edge = joined[edge].any(axis=0) & left
 
 
-def _in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """rows with lo, hi: a group of over `block` rows is cut by a hash of the node into blocks, and each row goes to
-    the pairs of blocks that its own is in. So no task holds more than two blocks, however large a group is."""
-    n = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(5)), n).cast("int")
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_own", "_other", size)
+#: Classes of a block: of those that a task compares by signatures, and by full sets.
+SIGNATURE_BLOCK, SET_BLOCK = 512, 256
 
 
-#: Classes of a block, of which a task compares two: by signatures, and by full sets.
-SIGNATURE_BLOCK, SET_BLOCK = 512, 256
+def _own_block(size: str, block: int, *by: str) -> Column:
+    return F.pmod(F.xxhash64("node", *by), F.ceil(F.col(size) / block)).cast("long")
+
+
+def _placed(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows (group, node, comp), each once for every two blocks of its group that must be compared, named lo and hi.
+
+    A component of over half a block has blocks of its own, which are never compared with each other; the others share blocks.
+    So a group that is one component costs nothing, and one of a large component and few other rows little more
+    than the rows it has. No task holds more than two blocks.
+    """
+    counts = rows.groupBy(group, "comp").agg(F.count("*").alias("_n")).withColumn("_large", 2 * F.col("_n") > block)
+    rest = counts.groupBy(group).agg(F.sum(F.when(~F.col("_large"), F.col("_n"))).alias("_rest"))
+    shared = F.pmod(F.xxhash64("comp", F.lit(5)), F.ceil(F.col("_rest") / block)).cast("long")
+    own = F.when(F.col("_large"), F.xxhash64("comp", _own_block("_n", block))).otherwise(shared)
+    rows = rows.join(counts.join(rest, group), [group, "comp"]).select(group, "node", "comp", F.when(F.col("_large"), F.col("comp")).alias("_of"), own.alias("_own"))
+    blocks = rows.select(group, F.col("_of").alias("_theirs"), F.col("_own").alias("_other")).distinct()
+    met = rows.join(blocks, group).where(F.col("_of").isNull() | F.col("_theirs").isNull() | (F.col("_of") != F.col("_theirs")))
+    return met.select(group, "node", "comp", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
 
 
-def _families(classes: DataFrame, percent: int) -> DataFrame:
-    """(node, root): classes joined up by signatures within DISTANCE, of sizes that allow a link.
+def _close(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, root): joined up are classes of different components within DISTANCE and of sizes that allow a link.
 
-    Each class goes to the bucket of each of its keys; within a bucket all classes are compared, and links
-    that connect the close ones are kept, not the pairs. A pair is compared in the first bucket it shares.
+    rows (node, comp, key, lo, hi): all classes of one (key, lo, hi) are compared; links that connect the close
+    ones are kept, not the pairs.
     """
     columns = [f"s{k}" for k in range(CHUNKS)]
-    keyed = classes.select("node", F.explode(_keys()).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = _in_blocks(keyed.join(buckets, "key"), "key", "size", SIGNATURE_BLOCK).join(classes.select("node", "n", *columns), "node")
-    rows = rows.select("node", "n", *columns, "key", "lo", "hi")
+    rows = rows.join(classes.select("node", "n", *columns), "node").select("node", "n", "comp", *columns, "key", "lo", "hi")
 
     def compare(batches):
-        for table, starts, ends in _whole_groups(batches, 2 + CHUNKS):
-            node, n = (table.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            symbols = np.stack([table.column(2 + k).to_numpy(zero_copy_only=False) for k in range(CHUNKS)], axis=1).view(np.uint16)
+        for table, starts, ends in _whole_groups(batches, 3 + CHUNKS):
+            node, n, comp = (table.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            symbols = np.stack([table.column(3 + k).to_numpy(zero_copy_only=False) for k in range(CHUNKS)], axis=1).view(np.uint16)
             u, v = [], []
             for a, b in zip(starts, ends):
                 if b - a == 2:
-                    if (symbols[a] != symbols[a + 1]).sum() <= DISTANCE and 100 * min(n[a], n[a + 1]) >= percent * max(n[a], n[a + 1]):
+                    if comp[a] != comp[a + 1] and (symbols[a] != symbols[a + 1]).sum() <= DISTANCE and 100 * min(n[a], n[a + 1]) >= percent * max(n[a], n[a + 1]):
                         u.append(node[a])
                         v.append(node[a + 1])
                     continue
                 far = np.zeros((b - a, b - a), np.uint8)
                 for k in range(SYMBOLS):
                     far += symbols[a:b, k, None] != symbols[None, a:b, k]
-                size = n[a:b]
-                near = (far <= DISTANCE) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
+                size, of = n[a:b], comp[a:b]
+                near = (far <= DISTANCE) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)) & (of[:, None] != of)
                 for i, j in _forest(near):
                     u.append(node[a + i])
                     v.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "u long, v long")
-    return components(found)
+    return components(rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "u long, v long"))
 
 
-def _links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Links (u, v) of classes, confirmed on full sets, that join up all classes that are linked.
+def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (node, comp, hashes, root, lo, hi) -> links (u, v) that connect the linked classes of one (root, lo, hi).
 
-    Only classes of one family can be linked. Within a family all pairs are compared, block by block, by
-    products of their membership in the shingles that they share; links that connect are kept, not pairs.
+    Pairs of different components are compared on full sets, by products of their membership in the shingles that they share.
     """
-    families = written(_families(classes, rule.percent), "near-families")
-    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
-    who = written(classes.select("node", "rep", "a", "b").join(families, "node").join(sizes, "root"), "near-who")
+
+    def confirm(batches):
+        for table, starts, ends in _whole_groups(batches, 3):
+            node, comp = (table.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            u, v = [], []
+            for a, b in zip(starts, ends):
+                held = [np.frombuffer(table.column(2)[i].as_buffer(), np.uint64) for i in range(a, b)]
+                n, of = np.array([len(h) for h in held]), comp[a:b]
+                common = _common(held)
+                for i, j in _forest((100 * common >= percent * (n[:, None] + n - common)) & (of[:, None] != of)):
+                    u.append(node[a + i])
+                    v.append(node[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    rows = rows.select("node", "comp", "hashes", "root", "lo", "hi").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    return written(rows.mapInArrow(confirm, "u long, v long").distinct(), "near-links")
+
+
+def _sets(docs: DataFrame, who: DataFrame, rule: Rule) -> DataFrame:
+    """who with the shingle set of each class, a sorted run of hashes; repeated rows of a document give one set."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(who.select("rep").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def hashed(batches):
@@ -214,30 +239,58 @@ def _links(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 sets = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(hashes.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), sets], ["a", "b", "hashes"])
 
-    sets = texts.mapInArrow(hashed, "a long, b long, hashes binary")
     # Joins with texts are by merging at every size: a broadcast would pass its bound somewhere.
-    # One copy of a set that repeated rows of a document have.
-    rows = who.join(sets, ["a", "b"]).select("node", "hashes", "root", "size")
-    rows = _in_blocks(rows, "root", "size", SET_BLOCK).select("node", "hashes", "root", "lo", "hi")
+    sets = texts.mapInArrow(hashed, "a long, b long, hashes binary").groupBy("a", "b").agg(F.first("hashes").alias("hashes"))
+    return who.hint("merge").join(sets, ["a", "b"])
 
-    def confirm(batches):
-        for table, starts, ends in _whole_groups(batches, 2):
-            node, u, v = table.column(0).to_numpy(zero_copy_only=False), [], []
-            for a, b in zip(starts, ends):
-                _, at = np.unique(node[a:b], return_index=True)
-                at = np.sort(at) + a
-                held = [np.frombuffer(table.column(1)[int(i)].as_buffer(), np.uint64) for i in at]
-                n = np.array([len(h) for h in held])
-                common = _common(held)
-                joined = 100 * common >= rule.percent * (n[:, None] + n - common)
-                for i, j in _forest(joined):
-                    u.append(node[at[i]])
-                    v.append(node[at[j]])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    links = written(rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(confirm, "u long, v long").distinct(), "near-links")
-    drop(families, who)
-    return links
+def _links(classes: DataFrame, docs: DataFrame, rule: Rule) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (u, v) of classes, confirmed on full sets, that join up all classes that are linked; and the tables read.
+
+    A class goes to the bucket of each of its keys. First each bucket is cut into blocks, those of one block are
+    compared by signatures, and the close ones joined up to families; each family is cut into blocks, and those of one block
+    compared on full sets. For families of one block, from buckets of one block, that is all. In larger
+    families one class of each component found so far is compared with those of the others, in blocks again, while that
+    halves their number. Then, of large buckets and large families alone, classes that are still in different components
+    are compared across blocks, by signatures and, where these are close, on full sets: all that remain, so no link is lost,
+    and a family of copies that the first steps join up costs about its own size.
+    """
+    keyed = classes.select("node", F.explode(_keys()).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = written(keyed.join(buckets, "key"), "near-met")
+    crowd = F.col("size") > SIGNATURE_BLOCK
+    alone = lambda df, *by: df.withColumns({"comp": F.col("node"), "lo": _own_block("size", SET_BLOCK if "root" in df.columns else SIGNATURE_BLOCK, *by), "hi": F.lit(0)})
+    families = _close(alone(met, "key"), classes, rule.percent)
+    crowded = met.where(crowd).select("node").distinct()
+    families = written(families.join(crowded, "node", "full").select("node", F.coalesce("root", "node").alias("root")), "near-families")
+    sizes = families.groupBy("root").agg(F.count("*").alias("size"))
+    who = written(classes.select("node", "rep", "a", "b").join(families, "node").join(sizes, "root"), "near-who")
+    sets = written(_sets(docs, who, rule).select("node", "root", "size", "hashes"), "near-sets")
+    links = [_confirmed(alone(sets.where("size > 1")), rule.percent)]
+    wide = F.col("size") > SET_BLOCK
+    now, used, before = None, [met, families, who, sets], None
+    while not (who.where(wide).isEmpty() and met.where(crowd).isEmpty()):
+        joined = components(reduce(DataFrame.unionAll, links)).select("node", F.col("root").alias("comp"))
+        now = written(who.select("node", "root", "size").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-now")
+        used.append(now)
+        heads = now.where(wide & (F.col("node") == F.col("comp"))).select("node", "root")
+        apart = heads.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+        n = apart.agg(F.sum("size")).first()[0] or 0
+        if not n or before is not None and 2 * n > before:
+            open_ = now.where(wide).join(apart.select("root"), "root", "left_semi").select("node", F.lit(True).alias("open"))
+            rows = met.join(now.select("node", "comp"), "node").join(open_, "node", "left").where(crowd | F.col("open"))
+            parted = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+            rows = rows.join(parted, "key", "left_semi").select("key", "node", "comp")
+            close = written(_close(_placed(rows, "key", SIGNATURE_BLOCK), classes, rule.percent), "near-close")
+            rows = _placed(close.join(now.select("node", "comp"), "node").select("root", "node", "comp"), "root", SET_BLOCK)
+            links.append(_confirmed(rows.hint("merge").join(sets.select("node", "hashes"), "node"), rule.percent))
+            used.append(close)
+            break
+        before = n
+        rows = heads.join(apart, "root").hint("merge").join(sets.select("node", "hashes"), "node")
+        links.append(_confirmed(alone(rows), rule.percent))
+    drop(*used)
+    return reduce(DataFrame.unionAll, links), links
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -281,9 +334,9 @@ def _grouped(docs: DataFrame, rule: Rule, *more: str) -> tuple[DataFrame, list[D
     rows = written(signed(docs, rule.words, *more), "near-rows")
     grouped = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", *(f"s{k}" for k in range(CHUNKS)))])
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    links = _links(classes, docs, rule)
+    links, read = _links(classes, docs, rule)
     roots = components(links).withColumnRenamed("node", "_node")
-    drop(links)
+    drop(*read)
     reps = classes.select("node", "a", "b", "rep", "rows").join(roots, F.col("node") == F.col("_node"), "left")
     lowest = reps.where("root is not null").groupBy("root").agg(F.min("rep").alias("lowest"))
     reps = reps.where("rows > 1 or root is not null").join(lowest, "root", "left").select("a", "b", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("root", "node").alias("group"))

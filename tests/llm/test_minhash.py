@@ -113,7 +113,13 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
         for _ in range(rng.randrange(0, 9)):
             other[rng.randrange(200)] = f"z{rng.randrange(10**6)}"
         rows.append((i, " ".join(other)))
-    held(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Rule(3, 85))
+    for i in range(30):  # close by signature, but linked in pairs alone
+        other = base[:]
+        for k in rng.sample(range(200), 14):
+            other[k] = f"z{rng.randrange(10**6)}"
+        rows += [(100 + 2 * i, " ".join(other)), (101 + 2 * i, " ".join(other[:-1]))]
+    got = held(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Rule(3, 85))
+    assert len({r.component_id for r in got}) > 10
 
 
 def test_components(spark):
