@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
@@ -171,11 +171,11 @@ def _placed(rows: DataFrame, group: str, block: int) -> DataFrame:
     return met.select(group, "node", "comp", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
 
 
-def _close(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _close(rows: DataFrame, classes: DataFrame, percent: int, more: DataFrame | None = None) -> DataFrame:
     """(node, root): joined up are classes of different components within DISTANCE and of sizes that allow a link.
 
     rows (node, comp, key, lo, hi): all classes of one (key, lo, hi) are compared; links that connect the close
-    ones are kept, not the pairs.
+    ones are kept, not the pairs. more: links (u, v) that join up as well.
     """
     columns = [f"s{k}" for k in range(CHUNKS)]
     rows = rows.join(classes.select("node", "n", *columns), "node").select("node", "n", "comp", *columns, "key", "lo", "hi")
@@ -201,7 +201,8 @@ def _close(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     v.append(node[a + j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return components(rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "u long, v long"))
+    links = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "u long, v long")
+    return components(links if more is None else links.unionAll(more))
 
 
 def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
@@ -247,52 +248,117 @@ def _sets(docs: DataFrame, who: DataFrame, rule: Rule) -> DataFrame:
 def _links(classes: DataFrame, docs: DataFrame, rule: Rule) -> tuple[DataFrame, list[DataFrame]]:
     """Links (u, v) of classes, confirmed on full sets, that join up all classes that are linked; and the tables read.
 
-    A class goes to the bucket of each of its keys. First each bucket is cut into blocks, those of one block are
-    compared by signatures, and the close ones joined up to families; each family is cut into blocks, and those of one block
-    compared on full sets. For families of one block, from buckets of one block, that is all. In larger
-    families one class of each component found so far is compared with those of the others, in blocks again, while that
-    halves their number. Then, of large buckets and large families alone, classes that are still in different components
-    are compared across blocks, by signatures and, where these are close, on full sets: all that remain, so no link is lost,
-    and a family of copies that the first steps join up costs about its own size.
+    A class goes to the bucket of each of its keys. Each bucket is cut into blocks, those of one block are compared by
+    signatures, and the close ones joined up to families; so are all of a bucket of several blocks, so that any two classes
+    that are close are of one family. A family of one block is compared on full sets, and that is all. A larger one is cut
+    into blocks, to each of which its most central classes are added: those that meet most others in buckets. Copies of a
+    text are joined up by the least edited of them, at a cost of twice the family. What is still in different components
+    is compared across blocks, first by sketches that rule out only what can't be linked, the rest on full sets: no link is lost.
     """
     keyed = classes.select("node", F.explode(_keys()).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
     met = written(keyed.join(buckets, "key"), "near-met")
-    crowd = F.col("size") > SIGNATURE_BLOCK
-    alone = lambda df, *by: df.withColumns({"comp": F.col("node"), "lo": _own_block("size", SET_BLOCK if "root" in df.columns else SIGNATURE_BLOCK, *by), "hi": F.lit(0)})
-    families = _close(alone(met, "key"), classes, rule.percent)
-    crowded = met.where(crowd).select("node").distinct()
-    families = written(families.join(crowded, "node", "full").select("node", F.coalesce("root", "node").alias("root")), "near-families")
+    whole = met.where((F.col("size") > SIGNATURE_BLOCK) & (F.col("node") != F.col("first"))).select(F.col("node").alias("u"), F.col("first").alias("v"))
+    alone = lambda df, block, *by: df.withColumns({"comp": F.col("node"), "lo": _own_block("size", block, *by), "hi": F.lit(0)})
+    families = written(_close(alone(met, SIGNATURE_BLOCK, "key"), classes, rule.percent, whole), "near-families")
     sizes = families.groupBy("root").agg(F.count("*").alias("size"))
     who = written(classes.select("node", "rep", "a", "b").join(families, "node").join(sizes, "root"), "near-who")
     sets = written(_sets(docs, who, rule).select("node", "root", "size", "hashes"), "near-sets")
-    links = [_confirmed(alone(sets.where("size > 1")), rule.percent)]
-    wide = F.col("size") > SET_BLOCK
-    now, used, before = None, [met, families, who, sets], None
-    while not (who.where(wide).isEmpty() and met.where(crowd).isEmpty()):
-        joined = components(reduce(DataFrame.unionAll, links)).select("node", F.col("root").alias("comp"))
-        now = written(who.select("node", "root", "size").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-now")
-        used.append(now)
-        heads = now.where(wide & (F.col("node") == F.col("comp"))).select("node", "root")
-        apart = heads.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-        n = apart.agg(F.sum("size")).first()[0] or 0
-        if not n or before is not None and 2 * n > before:
-            open_ = now.where(wide).join(apart.select("root"), "root", "left_semi").select("node", F.lit(True).alias("open"))
-            rows = met.join(now.select("node", "comp"), "node").join(open_, "node", "left").where(crowd | F.col("open"))
-            parted = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-            rows = rows.join(parted, "key", "left_semi").select("key", "node", "comp")
-            close = written(_close(_placed(rows, "key", SIGNATURE_BLOCK), classes, rule.percent), "near-close")
-            rows = _placed(close.join(now.select("node", "comp"), "node").select("root", "node", "comp"), "root", SET_BLOCK)
-            links.append(_confirmed(rows.hint("merge").join(sets.select("node", "hashes"), "node"), rule.percent))
-            used.append(close)
-            break
-        before = n
-        rows = heads.join(apart, "root").hint("merge").join(sets.select("node", "hashes"), "node")
-        links.append(_confirmed(alone(rows), rule.percent))
+    used, wide = [met, families, who, sets], F.col("size") > SET_BLOCK
+    if who.where(wide).isEmpty():
+        links = [_confirmed(alone(sets, SET_BLOCK), rule.percent)]
+        drop(*used)
+        return links[0], links
+    central = SET_BLOCK // 2
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("weight"), "node"))
+    pivots = written(who.where(wide).select("node", "root").join(weights, "node").withColumn("rank", rank).where(F.col("rank") <= central).select("node", "rank"), "near-pivots")
+    used.append(pivots)
+    ranked = sets.where(wide).hint("merge").join(pivots, "node", "left")
+    blocks = F.sequence(F.lit(0), F.ceil(F.col("size") / (SET_BLOCK - central)) - 1)
+    parts = [sets.where(~wide), ranked.where("rank is null").drop("rank")]
+    parts = [alone(df, SET_BLOCK - k * central) for k, df in enumerate(parts)]
+    parts.append(ranked.where("rank is not null").select("node", "root", "size", "hashes", F.col("node").alias("comp"), F.explode(blocks).alias("lo"), F.lit(0).alias("hi")))
+    links = [_confirmed(reduce(DataFrame.unionByName, parts), rule.percent)]
+    joined = components(links[0]).select("node", F.col("root").alias("comp"))
+    now = who.where(wide).select("node", "root").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = now.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("root")
+    now = written(now.join(apart, "root"), "near-now")
+    differ = _differences(ranked.select("node", "rank", "hashes").join(now.hint("merge"), "node"), rule.percent)
+    close = written(_reach(_placed(differ.select("root", "node", "comp"), "root", SIGNATURE_BLOCK), differ, rule.percent), "near-close")
+    used += [now, differ, close]
+    if not close.isEmpty():
+        rows = _placed(close.join(now.select("node", "comp"), "node").select("root", "node", "comp"), "root", SET_BLOCK)
+        links.append(_confirmed(rows.hint("merge").join(sets.select("node", "hashes"), "node"), rule.percent))
     drop(*used)
     return reduce(DataFrame.unionAll, links), links
 
 
+#: Counts of a byte in a sketch of the shingles in which a class differs from the centre of its family.
+SKETCH = 64
+
+
+def _differences(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (node, rank, hashes, root, comp) -> (node, root, comp, n, f, sketch), without classes that can't be linked with any.
+
+    Two classes differ just where their differences from a third one do: here the most central of the family, of rank 1.
+    Of those, f shingles differ in no other class of the family; the sketch counts the others by hash.
+    So two classes differ in at least the sum of their f and of the distances of their counts.
+    """
+
+    def differ(batches):
+        for batch in batches:
+            sets, centres = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("hashes", "centre"))
+            d = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(sets, centres)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("comp"), pa.array([len(x) for x in sets], pa.int64()), pa.array(d, pa.list_(pa.int64()))], ["node", "root", "comp", "n", "d"])
+
+    def sketch(batches):
+        for batch in batches:
+            f, sketches = [], []
+            for d, own in zip(batch.column("d"), batch.column("own")):
+                own = own.values.to_numpy() if own.is_valid else np.zeros(0, np.int64)
+                others = np.setdiff1d(d.values.to_numpy(), own, assume_unique=True).view(np.uint64)
+                f.append(len(own))
+                sketches.append(np.minimum(np.bincount((_mix(others) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "comp", "n")), pa.array(f, pa.int64()), pa.array(sketches, pa.binary())], ["node", "root", "comp", "n", "f", "sketch"])
+
+    centres = rows.where("rank = 1").select("root", F.col("hashes").alias("centre"))
+    diffs = written(rows.join(centres.hint("merge"), "root").select("node", "root", "comp", "hashes", "centre").mapInArrow(differ, "node long, root long, comp long, n long, d array<long>"), "near-diffs")
+    once = diffs.select("root", "node", F.explode("d").alias("h")).groupBy("root", "h").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    own = once.groupBy("node").agg(F.collect_list("h").alias("own"))
+    found = diffs.hint("merge").join(own, "node", "left").select("node", "root", "comp", "n", "d", "own").mapInArrow(sketch, "node long, root long, comp long, n long, f long, sketch binary")
+    # Sizes of linked classes are within percent of each other, so that more than this is too much for any.
+    found = written(found.where(F.col("f") * percent <= (100 - percent) * F.col("n")), "near-sketches")
+    drop(diffs)
+    return found
+
+
+def _reach(rows: DataFrame, differ: DataFrame, percent: int) -> DataFrame:
+    """(node, root): joined up are classes of different components that differ, as far as `differ` tells, by no more than linked ones.
+
+    Sets of n and m shingles that are linked differ in at most (n + m) * (100 - percent) / (100 + percent).
+    """
+    rows = rows.join(differ.select("node", "n", "f", "sketch").hint("merge"), "node").select("node", "n", "comp", "f", "sketch", "root", "lo", "hi")
+
+    def compare(batches):
+        for table, starts, ends in _whole_groups(batches, 5):
+            node, n, comp, f = (table.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            u, v = [], []
+            for a, b in zip(starts, ends):
+                counts = np.stack([np.frombuffer(table.column(4)[i].as_buffer(), np.uint8) for i in range(a, b)]).astype(np.int16)
+                apart = np.zeros((b - a, b - a), np.int16)
+                for k in range(SKETCH):
+                    apart += np.abs(counts[:, k, None] - counts[None, :, k])
+                size, own, of = n[a:b], f[a:b], comp[a:b]
+                near = ((100 + percent) * (apart + own[:, None] + own) <= (100 - percent) * (size[:, None] + size)) & (of[:, None] != of)
+                for i, j in _forest(near):
+                    u.append(node[a + i])
+                    v.append(node[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return components(rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare, "u long, v long"))
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Numbers of hashes that each two sets share: only hashes of two sets at least are looked at, a strip at a time."""
     n = np.array([len(s) for s in sets])

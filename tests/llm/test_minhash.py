@@ -122,6 +122,67 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     assert len({r.component_id for r in got}) > 10
 
 
+def test_a_large_family_is_not_compared_key_by_key(spark, monkeypatch):
+    """Copies of one text, many too much edited for a link: rows compared stay near the classes' keys, and no link is lost."""
+    monkeypatch.setattr(minhash, "SIGNATURE_BLOCK", 32)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 16)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(300):
+        other = base[:]
+        for k in rng.sample(range(150), rng.randrange(1, 9)):
+            other[k] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other)))
+    seen, close = [], minhash._close
+    monkeypatch.setattr(minhash, "_close", lambda df, *more: seen.append(df.count()) or close(df, *more))
+    got = held(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Rule(3, 85))
+    assert len({r.component_id for r in got}) > 50
+    assert sum(seen) <= 32 * len(rows)
+
+
+@pytest.mark.parametrize("rule", [minhash.Rule(3, 85), minhash.Rule()])
+def test_sketches_rule_out_no_link(spark, rule):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(60):
+        other = base[:]
+        for k in rng.sample(range(120), rng.randrange(0, 6)):
+            other[k] = rng.choice(["", f"v{k}", f"z{rng.randrange(10**6)}"])
+        texts.append(" ".join(other[: rng.choice([120, 120, 110])]))
+    texts = sorted(set(texts))
+    hashes, n = minhash.shingles(texts, rule.words)
+    sets = np.split(hashes, np.cumsum(n)[:-1])
+    rows = [(i, i + 1, bytearray(h.tobytes()), 7, i) for i, h in enumerate(sets)]
+    differ = minhash._differences(spark.createDataFrame(rows, "node long, rank int, hashes binary, root long, comp long"), rule.percent)
+    kept = {r.node: (r.f, np.frombuffer(bytes(r.sketch), np.uint8).astype(int)) for r in differ.collect()}
+    linked = far = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            union = len(sets[i]) + len(sets[j]) - common
+            if i in kept and j in kept:
+                apart = kept[i][0] + kept[j][0] + abs(kept[i][1] - kept[j][1]).sum()
+                assert apart <= union - common
+                far += (100 + rule.percent) * apart > (100 - rule.percent) * (len(sets[i]) + len(sets[j]))
+            if 100 * common >= rule.percent * union:
+                linked += 1
+                assert i in kept and j in kept
+    assert linked > 20 and far > 20
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    names, real = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or real(df, name))
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)], "u long, v long")
+    want = sorted(map(tuple, components.components(edges).collect()))
+    assert want[:51] == [(i, 0) for i in range(51)] and len(names) == 2
+    monkeypatch.setattr(components, "FEW", 10)
+    assert sorted(map(tuple, components.components(edges).collect())) == want and len(names) > 6
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(30)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(3, 2), (2, 3), (3, 2)]
