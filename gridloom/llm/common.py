@@ -78,6 +78,14 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = path
 
 
+def release() -> None:
+    """Hand memory that allocators hold but nothing uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 _holders: dict[str, dict] = {}
 
 
@@ -88,10 +96,7 @@ def held_by(operator: str) -> dict:
         for kept in _holders.values():
             kept.clear()
         _holders.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-        if trim is not None:
-            trim(0)
+        release()
         _holders[operator] = {}
     return _holders[operator]
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import by_size
-from gridloom.llm.common import held_by, ship
+from gridloom.llm.common import held_by, release, ship
 
 #: Words of a window, words from one window's start to the next, GRU units a direction, numbers a word and a character input has, n-gram buckets.
 LENGTH, STRIDE, UNITS, WIDTH, BUCKETS = 32, 16, 8, 8, 1 << 14  # buckets: 14 bits
@@ -29,6 +28,8 @@ SURE = 2.5
 EDGE, INNER = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"[^\W_]")
 #: A word of over PIECE characters is read in pieces of so many, each with the last LAP characters of the one before.
 PIECE, LAP = 64, 5
+#: Words whose n-grams, and windows whose words, are worked on at a time: what stands beside the results is bounded by these.
+PART = 8192
 
 
 def words_of(text: str) -> list[str]:
@@ -62,7 +63,7 @@ def _grams(words: list[str]):
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(len(c))
-    padded, buckets = np.append(c, np.zeros(5, np.uint64)), np.empty((len(c), 4), np.int32)
+    padded, buckets = np.append(c, np.zeros(5, np.uint64)), np.empty((len(c), 4), np.uint16)
     h = padded[: len(c)] * np.uint64(0x9E3779B1) + padded[1 : 1 + len(c)]
     for k, n in enumerate((3, 4, 5, 6)):
         h = h * np.uint64(0x9E3779B1) + padded[n - 1 : n - 1 + len(c)]
@@ -84,15 +85,20 @@ class Model:
 
     def inputs(self, words: list[str]):
         """Word rows, gram buckets, where each word's grams begin, 1 / sqrt(number of grams)."""
-        plain = plain_words(words)
-        grams, n = _grams(plain)
-        return np.fromiter((self.vocab.get(w, 0) for w in plain), np.int64, len(plain)), grams, np.cumsum(n) - n, (1 / np.sqrt(n)).astype(np.float32)
+        rows, grams, sizes = np.empty(len(words), np.int64), [], []
+        for i in range(0, len(words), PART):
+            plain = plain_words(words[i : i + PART])
+            rows[i : i + PART] = [self.vocab.get(w, 0) for w in plain]
+            for out, part in zip((grams, sizes), _grams(plain)):
+                out.append(part)
+        n = np.concatenate(sizes)
+        return rows, np.concatenate(grams), np.cumsum(n) - n, (1 / np.sqrt(n)).astype(np.float32)
 
     def embed(self, rows, grams, at, scale):
         out = np.empty((len(rows), 2 * WIDTH), self.p["Ec"].dtype)
         out[:, :WIDTH] = self.p["Ew"][rows]
-        for i in range(0, len(rows), 8192):  # in parts, as a word has some thirty grams
-            j = min(i + 8192, len(rows))
+        for i in range(0, len(rows), PART):  # a word has some thirty grams
+            j = min(i + PART, len(rows))
             part = grams[at[i] : at[j] if j < len(rows) else len(grams)]
             out[i:j, WIDTH:] = np.add.reduceat(self.p["Ec"][part], at[i:j] - at[i]) * scale[i:j, None]
         return out
@@ -101,6 +107,14 @@ class Model:
         """What every word adds to the gates, for both directions."""
         return np.concatenate([e @ self.p["Wf"] + self.p["bf"], e @ self.p["Wb"] + self.p["bb"]], axis=1)
 
+    def table(self, rows, grams, at, scale):
+        """What every word adds to the gates, with a row of zeros in front."""
+        e = self.embed(rows, grams, at, scale)
+        out = np.zeros((1 + len(e), 6 * UNITS), e.dtype)
+        for i in range(0, len(e), PART):
+            out[1 + i : 1 + i + PART] = self.project(e[i : i + PART])
+        return out
+
 
 def _gru(x, u, mask, keep=None):
     """x: (length, batch, 3 units); states (length, batch, units). keep: what the backward pass needs."""
@@ -170,11 +184,13 @@ def windows(ids: np.ndarray, sizes: np.ndarray):
     of = np.repeat(np.arange(len(sizes)), n)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     start = np.minimum(nth * STRIDE, np.maximum(sizes - LENGTH, 0)[of])
-    within = start[:, None] + np.arange(LENGTH)
-    base = (np.cumsum(sizes) - sizes)[of]
-    there = within < sizes[of][:, None]
-    padded = np.append(ids, ids.dtype.type(0))
-    return np.where(there, padded[np.where(there, base[:, None] + within, len(ids))], 0), of
+    base, padded = np.cumsum(sizes) - sizes, np.append(ids, ids.dtype.type(0))
+    out = np.empty((len(of), LENGTH), ids.dtype)
+    for i in range(0, len(of), PART):
+        own = of[i : i + PART]
+        within = start[i : i + PART, None] + np.arange(LENGTH)
+        out[i : i + PART] = padded[np.where(within < sizes[own, None], base[own, None] + within, len(ids))]
+    return out, of
 
 
 def text_features(logits: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
@@ -213,18 +229,24 @@ def train(texts: list[str], labels: list[int], positives: float, seed: int = 4,
     number: dict[str, int] = {}
     rows = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)], np.int32) for t in texts]
     distinct = list(number)
-    plain = plain_words(distinct)
-    stands_in = [{plain[i - 1] for i in set(r.tolist())} for r in rows]
-    seen = Counter(chain.from_iterable(stands_in))
-    vocab = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:20_000]) if c >= 3}
+    del number
+    forms: dict[str, int] = {}
+    form = np.fromiter((forms.setdefault(w, len(forms)) for w in plain_words(distinct)), np.int32, len(distinct))
+    stands_in = [np.unique(form[r - 1]) for r in rows]
+    seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *stands_in]), minlength=len(forms))
+    common = sorted((-c, w) for w, c in zip(forms, seen.tolist()) if c >= 3)[:20_000]
+    vocab = {w: i + 1 for i, (_, w) in enumerate(common)}
     if not texts or labels.min() == labels.max():
         model = Model(vocab, _initial(vocab, rng))
         model.final = np.array([0, 0, 0, np.log((positives + 1e-3) / (1 - positives + 1e-3))])
         return model
     feats = Model(vocab, {}).inputs(distinct or [""])
     ids, of = windows(np.concatenate(rows), np.array([len(r) for r in rows]))
-    known = [np.array(sorted(vocab[w] for w in ws if w in vocab), np.int32) for ws in stands_in]
-    del number, distinct, plain, rows, stands_in, seen
+    place = np.zeros(len(forms), np.int32)
+    place[[forms[w] for w in vocab]] = list(vocab.values())
+    known = [(own := place[ws])[own > 0] for ws in stands_in]
+    del distinct, forms, form, rows, stands_in, seen, common, place
+    release()
     fold = np.empty(len(texts), int)
     for own in (np.flatnonzero(labels > 0), np.flatnonzero(labels <= 0)):
         fold[rng.permutation(own)] = np.arange(len(own)) % folds
@@ -280,7 +302,7 @@ def _descend(model: Model, ids, of, labels, fit, feats, rng, epochs: int, batch:
     mine = np.flatnonzero(fit[of])
     counts = np.diff(np.append(feats[2], len(feats[1])))
     balance = np.where(labels > 0, 0.5 / max(labels[fit].mean(), 1e-3), 0.5 / max(1 - labels[fit].mean(), 1e-3)).astype(np.float32)
-    table = lambda: np.concatenate([np.zeros((1, 6 * UNITS), np.float32), model.project(model.embed(*feats))])
+    table = lambda: model.table(*feats)
     for epoch in range(epochs):
         if epoch == 0:
             chosen = rng.permutation(mine)[: 6 * fit.sum()]
@@ -413,7 +435,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             ids[r.doc_id] = is_toxic
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "_id long, _toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.length("text") <= SAMPLE_CHARS).orderBy("doc_id", F.xxhash64("text")).limit(4 * sample).collect()
-    return train([r.text for r in rows], [r._toxic for r in rows], n.get(True, 0) / max(1, sum(n.values())))
+    texts, toxic = [r.text for r in rows], [r._toxic for r in rows]
+    del rows
+    model = train(texts, toxic, n.get(True, 0) / max(1, sum(n.values())))
+    release()
+    return model
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

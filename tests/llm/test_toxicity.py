@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -132,6 +133,39 @@ def test_forward_pass_word_by_word():
     assert abs(T.Scorer(model).score(["so on"])[0] - 1 / (1 + exp(-(0.3 * logit(["so", "on"]) + 0.2)))) < 2e-5
 
 
+def test_parts_change_nothing(monkeypatch):
+    """Words and windows worked on in small parts give what they give all at once."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abé中-"), rng.integers(1, 12))) for _ in range(100)] + ["", " " + "x" * 64]
+    model = T.train([], [], 0.5)
+    model.vocab = {w: 1 + i % 2 for i, w in enumerate(words[:50])}
+    model.p["Ew"] = rng.standard_normal((3, T.WIDTH)).astype(np.float32)
+    sizes = np.array([0, 1, 500, T.LENGTH, 0, 777])
+    ids = np.arange(1, sizes.sum() + 1)
+
+    def made():
+        inputs = model.inputs(words)
+        return *inputs, model.table(*inputs), *T.windows(ids, sizes)
+
+    whole = made()
+    for part in (1, 7, 102):
+        monkeypatch.setattr(T, "PART", part)
+        for x, y in zip(whole, made()):
+            assert x.dtype == y.dtype and x.shape == y.shape and np.allclose(x, y, rtol=0, atol=1e-6)
+    assert not whole[4][0].any() and np.array_equal(whole[4][1:], model.project(model.embed(*whole[:4])))
+
+
+def test_training_holds_little_beside_its_sample():
+    """The driver trains: with many distinct words, n-grams and windows, its peak stays near what it has to keep (34 MB; 93 all at once)."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"{a:x}" for a in rng.integers(1 << 28, 1 << 31, 400)) for _ in range(200)]
+    tracemalloc.start()
+    T.train(texts, [0, 1] * 100, 0.5, epochs=1, few=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_few_labels(spark):
     """With some thirty toxic texts to learn from, held-out ones are still told apart."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
