@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +58,35 @@ def voxel_sizes(least: float = 0.005, most: float = 0.05, step: float = 0.005) -
     return out
 
 
+def cells(points: DataFrame, grid: Grid, grids: list[Grid]) -> DataFrame:
+    """(x, y, z, n): of all points that share their voxel at every size, one, as its distance from the box's corner, and their number.
+
+    Along an axis no size's index ever falls, so the sum of all sizes' indices is the same for two points only if
+    each index is. Points far outside the box are brought nearer, to where they are outside at every size.
+    """
+    least, most = min(g.voxel_size for g in grids), max(g.voxel_size for g in grids)
+    ends = [2 * (b - a) + 4 * most for a, b in zip(grid.low, grid.high)]
+    at = finite(points).select(*[F.greatest(f32(-2 * most), F.least(f32(e), F.col(a) - f32(grid.low[i]))).alias(a) for i, (a, e) in enumerate(zip(AXES, ends))])
+    index = lambda a, g: (F.col(a) * f32(g.inverse)).cast("float").cast("long")
+    # Where indices go beyond what floats tell apart, a coordinate is its own cell.
+    place = [reduce(add, [index(a, g) for g in grids]) if e / least < 1 << 53 else F.col(a) for a, e in zip(AXES, ends)]
+    return at.groupBy(*[p.alias(f"at_{a}") for a, p in zip(AXES, place)]).agg(*[F.min(a).alias(a) for a in AXES], F.count("*").alias("n")).select(*AXES, "n")
+
+
 def voxel_size_sweep(points: DataFrame, grid: Grid, sizes: list[float], threshold: int = 1) -> DataFrame:
-    """(voxel_size, total_voxels, occupied, score) of each size, in one pass over the points."""
+    """(voxel_size, total_voxels, occupied, score) of each size, in one pass over the points.
+
+    Points are brought down to cells first, of which there are hardly more than voxels of the smallest size;
+    only those are put into their voxel of every size.
+    """
     grids = [grid.at(s) for s in sizes]
     if any(g.voxels >= 1 << 63 for g in grids):
         raise OverflowError("the smallest voxels make a grid beyond 64-bit ids")
     entry = lambda k, g: F.struct(F.lit(k).alias("k"), f32(g.inverse).alias("inv"), *[F.lit(d).cast("long").alias(n) for n, d in zip(("gx", "gy", "gz"), g.dims)])
-    each = finite(points).select(*[(F.col(a) - f32(grid.low[i])).alias(a) for i, a in enumerate(AXES)], F.explode(F.array(*[entry(k, g) for k, g in enumerate(grids)])).alias("g"))
-    each = each.select(F.col("g.k").alias("k"), "g", *[(F.col(a) * F.col("g.inv")).cast("float").try_cast("int").alias(f"v{a}") for a in AXES])
+    each = cells(points, grid, grids).select(*AXES, "n", F.explode(F.array(*[entry(k, g) for k, g in enumerate(grids)])).alias("g"))
+    each = each.select(F.col("g.k").alias("k"), "g", "n", *[(F.col(a) * F.col("g.inv")).cast("float").try_cast("long").alias(f"v{a}") for a in AXES])
     inside = each.where("vx >= 0 and vx < g.gx and vy >= 0 and vy < g.gy and vz >= 0 and vz < g.gz")
-    counts = inside.groupBy("k", F.expr("vz * g.gx * g.gy + vy * g.gx + vx").alias("voxel_id")).agg(F.count("*").alias("n"))
+    counts = inside.groupBy("k", F.expr("vz * g.gx * g.gy + vy * g.gx + vx").alias("voxel_id")).agg(F.sum("n").alias("n"))
     found = counts.where(F.col("n") >= max(1, threshold)).groupBy("k").agg(F.count("*").alias("occupied"))
     every = points.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), f32(g.voxel_size).alias("voxel_size"), F.lit(g.voxels).cast("long").alias("total_voxels")) for k, g in enumerate(grids)])).alias("e")).select("e.*")
     out = every.join(found, "k", "left").withColumn("occupied", F.coalesce("occupied", F.lit(0)).cast("long"))

@@ -193,3 +193,63 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("voxels").collect()} == {tuple(r) for r in voxel.voxel_counts(points, grid).collect()}
+
+
+def slow_sweep(points, grid, sizes, threshold=1):
+    """Occupied voxels of each size, from every point at every size."""
+    f = np.float32
+    p = np.array(points, f)
+    p = np.clip(p[np.isfinite(p).all(axis=1)] - np.array(grid.low, f), -1e16, 1e16).astype(f)
+    out = []
+    for g in map(grid.at, sizes):
+        at = (p * g.inverse).astype(np.int64)
+        at = at[((at >= 0) & (at < np.array(g.dims))).all(axis=1)]
+        out.append(int((np.unique(at, axis=0, return_counts=True)[1] >= threshold).sum()))
+    return out
+
+
+def exploded(node):
+    """Rows that the plan's explosions made of rows of points."""
+    own = node.metrics().apply("numOutputRows").value() if node.nodeName() == "Generate" else 0
+    return own + sum(exploded(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_voxel_size_sweep_puts_cells_not_points_in_voxels(spark):
+    rng = np.random.default_rng(7)
+    corners = rng.integers(0, 20, (40, 3)) * 0.05
+    rows = (corners[rng.integers(0, 40, 5000)] + rng.uniform(0.0005, 0.0045, (5000, 3))).tolist() + [[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = Compression(cloud(spark, rows), CompressionSettings(0.1, 2))
+        swept = run.sweep_voxels()
+        found = [r.occupied for r in sorted(swept.collect())]
+        made = exploded(swept._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found == slow_sweep(rows, run.grid, sweep.voxel_sizes())
+    # 42 cells, rather than 5002 points, at ten sizes each; ten rows more are the sizes themselves.
+    assert made <= 10 * 42 * 2 + 10
+
+
+@pytest.mark.parametrize("span,threshold,margin", [((0.005, 0.05, 0.005), 1, 0.0), ((0.07, 0.9, 0.031), 1, 0.1), ((0.013, 0.4, 0.0477), 3, 0.0), ((0.3, 0.31, 0.1), 2, 0.3)])
+def test_voxel_size_sweep_against_every_point(spark, span, threshold, margin):
+    rng = np.random.default_rng(3)
+    near = np.round(rng.normal(0, 0.6, (1500, 3)), 2).tolist()
+    rows = near + near[:700] + rng.normal(0, 0.2, (1500, 3)).tolist() + [[float("nan"), 0, 0], [0, float("inf"), 0]]
+    sizes = sweep.voxel_sizes(*span)
+    run = Compression(cloud(spark, rows), CompressionSettings(0.1, 2, threshold, margin))
+    assert [r.occupied for r in sorted(run.sweep_voxels(*span).collect())] == slow_sweep(rows, run.grid, sizes, threshold)
+    # On a grid that leaves points outside, near and far.
+    box = voxel.Grid((-0.25, -0.3, -0.1), (0.4, 0.3, 0.5), 0.1, 0, (0.65, 0.6, 0.6))
+    rows += [[1e6, 0, 0], [0, -3e38, 0], [0, 0, 3e38]]
+    found = sweep.voxel_size_sweep(cloud(spark, rows), box, sizes, threshold)
+    assert [r.occupied for r in sorted(found.collect())] == slow_sweep(rows, box, sizes, threshold)
+
+
+def test_voxel_size_sweep_of_wide_clouds(spark):
+    for wide in (2e7, 1e15):
+        rows = [(0, 0, 0), (wide, 0, 0), (wide / 2, 0, 0), (wide / 2, 0, 0)]
+        run = Compression(cloud(spark, rows), CompressionSettings(1.0, 2))
+        found = [r.occupied for r in sorted(run.sweep_voxels().collect())]
+        assert found == slow_sweep(rows, run.grid, sweep.voxel_sizes()) and max(found) == 3
