@@ -253,3 +253,21 @@ def test_voxel_size_sweep_of_wide_clouds(spark):
         run = Compression(cloud(spark, rows), CompressionSettings(1.0, 2))
         found = [r.occupied for r in sorted(run.sweep_voxels().collect())]
         assert found == slow_sweep(rows, run.grid, sweep.voxel_sizes()) and max(found) == 3
+
+
+@pytest.mark.parametrize("name", ["best_voxel_size_lineitem"])
+def test_voxel_sizes_of_a_repeated_table(spark, tmp_path, name):
+    from gridloom import registry
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows.write.parquet(str(tmp_path / "one/lineitem.parquet"))
+    rows.crossJoin(spark.range(5)).drop("id").write.parquet(str(tmp_path / "five/lineitem.parquet"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = [registry.queries()[name](spark, str(tmp_path / d)) for d in ("one", "five")]
+        one, five = (sorted(map(tuple, df.collect())) for df in found)
+        made = [exploded(df._jdf.queryExecution().executedPlan()) for df in found]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert one == five and made[0] == made[1] > 0
