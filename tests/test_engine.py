@@ -255,7 +255,7 @@ def test_voxel_size_sweep_of_wide_clouds(spark):
         assert found == slow_sweep(rows, run.grid, sweep.voxel_sizes()) and max(found) == 3
 
 
-@pytest.mark.parametrize("name", ["best_voxel_size_lineitem", "voxel_size_sweep_lineitem_fine"])
+@pytest.mark.parametrize("name", ["best_voxel_size_lineitem", "voxel_size_sweep_lineitem_fine", "best_voxel_size_lineitem_fine"])
 def test_voxel_sizes_of_a_repeated_table(spark, tmp_path, name):
     from gridloom import registry
 
